@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quayside.llm import lines, minhash
+from quayside.llm import automaton, lines, minhash
 
 QUERIES = {
     "op1_near_dedup": minhash.op1_near_dedup,
+    "op3_decontamination": automaton.op3_decontamination,
     "op9_line_dedup": lines.op9_line_dedup,
 }
 SQL = {"op9_line_dedup": lines.SQL}
