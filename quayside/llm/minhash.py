@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.graph import components
-from quayside.llm.spans import SPACE, U64, chunks, distinct, mix64, shingles
+from quayside.llm.spans import SPACE, U64, chunks, distinct, mix64, owners, shingles
 from quayside.llm.store import keep
 
 _BLOCK = 512
@@ -26,6 +26,7 @@ class Sketching:
     bands: int = 32
     rows: int = 5
     bits: int = 512
+    set_bits: int = 1024
     sift: float = 0.55
     seed: int = 1
 
@@ -63,6 +64,13 @@ def odd_sketches(samples: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
 
 
+def _parities(values: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """For each text, the parity bitmap of its whole set."""
+    n = len(at) - 1
+    odd = np.bincount(owners(at) * bits + (values & U64(bits - 1)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
+
+
 def _lists(values: np.ndarray, at: np.ndarray | int) -> pa.ListArray:
     if isinstance(at, int):
         at = np.arange(0, values.size + 1, at)
@@ -70,7 +78,8 @@ def _lists(values: np.ndarray, at: np.ndarray | int) -> pa.ListArray:
 
 
 def sketched(docs: DataFrame, s: Sketching) -> DataFrame:
-    """(doc_id, n, lo, hi, bands, sketch) of (doc_id, text): set size, 128-bit digest of the set, band keys, odd sketch."""
+    """(doc_id, n, lo, hi, bands, sketch) of (doc_id, text): set size, 128-bit digest of the set, band keys,
+    and the odd sketch of its MinHash samples followed by that of the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,7 +94,7 @@ def sketched(docs: DataFrame, s: Sketching) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix64(v ^ U64(c)))]) for c in (0x1F83D9AB, 0x5BE0CD19)]
                 lo, hi = (x[at[1:]] - x[at[:-1]] for x in sums)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(key, s.bands), _lists(odd_sketches(least, s.bits), s.bits // 64)],
+                    [batch.column(0).slice(chunk.first, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(key, s.bands), _lists(np.concatenate([odd_sketches(least, s.bits), _parities(v, at, s.set_bits)], axis=1), (s.bits + s.set_bits) // 64)],
                     names=["doc_id", "n", "lo", "hi", "bands", "sketch"],
                 )
 
@@ -104,9 +113,24 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, items array<long>")
 
 
-def _odd(x: str, y: str, words: int) -> Column:
-    """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(1, words)), F.bit_count(F.get(x, F.lit(0)).bitwiseXOR(F.get(y, F.lit(0)))))
+def _odd(x: str, y: str, first: int, end: int) -> Column:
+    """Population count of the XOR of two sketches' words from ``first`` to ``end``."""
+    counts = [F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(first, end)]
+    return sum(counts[1:], counts[0])
+
+
+def _likely(s: Sketching, x: str, y: str, nx: str, ny: str) -> Column:
+    """Whether the sketches let the pair be similar enough.
+
+    Sets that link differ in d <= (nx + ny)(1 - t)/(1 + t) items. Their own bitmaps then differ in d bits at most, which
+    no linked pair breaks; for large sets, whose items fall on each other, the expected number and six standard
+    deviations are less.
+    """
+    half = s.set_bits / 2
+    d = (F.col(nx) + F.col(ny)) * ((100 - s.percent) / (100 + s.percent))
+    most = F.least(d, half * (1 - F.exp(-d / half)) + 3 * s.set_bits**0.5) + 1e-6
+    first, end = s.bits // 64, (s.bits + s.set_bits) // 64
+    return (_odd(x, y, first, end) <= most) & (_odd(x, y, 0, first) <= s.most_odd)
 
 
 def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_ids: int = 2_000_000) -> DataFrame:
@@ -122,7 +146,6 @@ def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_id
     other, sifted inside the join by their odd sketches, so only likely pairs come out. Full sets confirm each pair.
     """
     s = s or Sketching()
-    words = s.bits // 64
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_rows = keep(sketched(plain, s), "sketched")
     named = all_rows.where("n > 0 AND doc_id IS NOT NULL")
@@ -132,16 +155,16 @@ def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_id
     tops = in_bands.groupBy("band").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = keep(in_bands.join(tops, "band"), "banded")
     stars = banded.where("id != top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct()
-    sketch = classes.select("id", "sketch")
-    stars = stars.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(_odd("x", "y", words) <= s.most_odd)
+    sketch = classes.select("id", "sketch", "n")
+    stars = stars.join(sketch.toDF("a", "x", "nx"), "a").join(sketch.toDF("b", "y", "ny"), "b").where(_likely(s, "x", "y", "nx", "ny"))
     links = keep(_confirmed(plain, keep(stars.select("a", "b"), "stars"), s, broadcast_ids), "links")
 
     found = components(links)
     rest = banded.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = rest.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("band")
-    rest = keep(rest.join(mixed, "band").where("id != top").join(sketch, "id").select("band", "id", "component", "sketch"), "rest")
-    x, y = rest.toDF("band", "a", "ca", "x"), rest.toDF("band", "b", "cb", "y")
-    pairs = x.join(y, (x["band"] == y["band"]) & (x["ca"] < y["cb"]) & (_odd("x", "y", words) <= s.most_odd)).select("a", "b").distinct()
+    rest = keep(rest.join(mixed, "band").where("id != top").join(sketch, "id").select("band", "id", "component", "sketch", "n"), "rest")
+    x, y = rest.toDF("band", "a", "ca", "x", "nx"), rest.toDF("band", "b", "cb", "y", "ny")
+    pairs = x.join(y, (x["band"] == y["band"]) & (x["ca"] < y["cb"]) & _likely(s, "x", "y", "nx", "ny")).select("a", "b").distinct()
     more = keep(_confirmed(plain, keep(pairs, "pairs"), s, broadcast_ids), "more-links")
     if not more.isEmpty():
         found = components(links.union(more))
