@@ -171,7 +171,7 @@ def score(docs: DataFrame, learn: Column, *, depth: int = 4) -> DataFrame:
     return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
 
 
-def op5_lm_score(spark, sf_dir: str) -> DataFrame:
+def op5_lm_score(spark, sf_dir: str, depth: int = 5) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    return score(docs, ~held).select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(docs, ~held, depth=depth).select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
