@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from quayside.llm.spans import SPACE, U64, Chunk, chunks
 from quayside.llm.store import keep
 
-GRAM, WORD = 0, 1
 #: Stands before a text's first byte and after its last; no byte of UTF-8.
 EDGE = 0xFF
 #: The key of the end that every text has as its last token.
@@ -49,35 +48,33 @@ def _grams(chunk: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the texts' words, then the end; the offsets."""
+    """Hashes of the texts' words, then the end, all negative (grams are not); the offsets."""
     words, at = chunk.words(~SPACE)
-    keys = np.insert(words.view(np.int64), at[1:], END)
+    keys = np.insert(words.view(np.int64), at[1:], END) | np.int64(-1 << 63)
     return keys, at + np.arange(len(at))
 
 
 def _observed(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, block, n) of (block, learn, text): the distinct grams and words, and how often they are learned from."""
+    """(key, block, n) of (block, learn, text): the distinct grams and words, and how often they are learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blocks, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks).tolist():
                 own = np.flatnonzero(blocks == block)
-                held: dict[int, list] = {GRAM: [], WORD: []}
+                held = []
                 for chunk in chunks(batch.column(2).take(pa.array(own)), 1 << 22):
                     counts = learn[own[chunk.first : chunk.first + len(chunk)]]
-                    for kind, (keys, at) in ((GRAM, _grams(chunk, depth)), (WORD, _tokens(chunk))):
-                        flag = np.repeat(counts, np.diff(at))
+                    for keys, at in (_grams(chunk, depth), _tokens(chunk)):
                         u, where = np.unique(keys, return_inverse=True)
-                        held[kind].append((u, np.bincount(where, weights=flag, minlength=len(u)).astype(np.int64)))
-                for kind, parts in held.items():
-                    u, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                    n = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(u)).astype(np.int64)
-                    for k in range(0, len(u), 100_000):
-                        m = len(u[k : k + 100_000])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int64)), pa.array(u[k : k + m]), pa.array(np.full(m, block, np.int64)), pa.array(n[k : k + m])], names=["kind", "key", "block", "n"])
+                        held.append((u, np.bincount(where, weights=np.repeat(counts, np.diff(at)), minlength=len(u))))
+                u, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+                n = np.bincount(where, weights=np.concatenate([c for _, c in held]), minlength=len(u)).astype(np.int64)
+                for k in range(0, len(u), 100_000):
+                    m = len(u[k : k + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(u[k : k + m]), pa.array(np.full(m, block, np.int64)), pa.array(n[k : k + m])], names=["key", "block", "n"])
 
-    return docs.mapInArrow(run, "kind long, key long, block long, n long")
+    return docs.mapInArrow(run, "key long, block long, n long").withColumn("block", F.col("block").cast("int"))
 
 
 def _choices(grams: DataFrame) -> DataFrame:
@@ -95,8 +92,7 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
     estimates along its context, by the posterior of stopping at each. Nodes never learned from pass on what is above,
     renormalised. Level by level, each a grouped sum up or an equi-join down; no node table leaves the executors.
     """
-    count = _choices(grams)
-    nodes = count.groupBy("id").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
+    nodes = _choices(grams).groupBy("id").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
     levels = []
     for d in range(depth, -1, -1):
         ln_kt = kt(F.col("n0"), F.col("n1"))
@@ -119,8 +115,14 @@ def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
         deeper = {"a": F.col("a") + own * one, "s": F.col("s") + own, "r": F.col("r") * (1 - F.col("w")), "last": one}
         above = up.select("id", *[F.when(seen, new).otherwise(F.col(name)).alias(name) for name, new in deeper.items()])
     p = above.select("id", F.when(F.col("s") > 1e-200, F.try_divide("a", "s")).otherwise(F.col("last")).alias("p"))
-    chosen = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return count.join(p, "id").groupBy("key").agg(F.sum(chosen).alias("value"))
+    # a context's nodes (255 at most) come to its grams together: far fewer rows than eight for each gram
+    of_context = p.groupBy(F.shiftright("id", 8).alias("ctx")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").bitwiseAND(F.lit(255)).cast("int"), "p"))).alias("ps"))
+    sym = F.col("key").bitwiseAND(F.lit(255)).cast("int")
+    chosen = []
+    for k in range(8):
+        one = F.try_element_at("ps", F.shiftright(sym + 256, k + 1))
+        chosen.append(F.log10(F.when(F.shiftright(sym, k).bitwiseAND(F.lit(1)) == 1, one).otherwise(1 - one)))
+    return grams.withColumn("ctx", F.shiftright("key", 8)).join(of_context, "ctx").select("key", sum(chosen[1:], chosen[0]).alias("value"))
 
 
 def score(docs: DataFrame, learn: Column, *, depth: int = 4) -> DataFrame:
@@ -137,31 +139,25 @@ def score(docs: DataFrame, learn: Column, *, depth: int = 4) -> DataFrame:
     """
     spark = docs.sparkSession
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     asked = keep(_observed(rows.select("block", "learn", "text").repartition(blocks, "block"), depth), "asked")
-    known = keep(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "known")
-    words = known.where(F.col("kind") == WORD)
+    known = keep(asked.groupBy("key").agg(F.sum("n").alias("n")), "known")
+    words = known.where("key < 0")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    base = words.select("kind", "key", F.log10((F.col("n") + 1) / F.lit(float(total + distinct + 1))).alias("value"), (F.col("n") > 0).alias("seen"))
-    grams = known.where(F.col("kind") == GRAM).select("key", "n")
-    answers = gram_scores(grams, depth).select(F.lit(GRAM).cast("long").alias("kind"), "key", "value", F.lit(True).alias("seen")).union(base)
-    given = asked.select("block", "kind", "key").join(answers, ["kind", "key"])
+    answers = gram_scores(known.where("key >= 0"), depth).union(words.select("key", F.col("n").cast("double")))
+    given = asked.select("block", "key").join(answers, "key").select("block", "key", "value")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds, keys, values, seen = (right[c].to_numpy() for c in ("kind", "key", "value", "seen"))
-        table = {}
-        for kind in (GRAM, WORD):
-            own = np.flatnonzero(kinds == kind)
-            own = own[np.argsort(keys[own])]
-            table[kind] = keys[own], values[own], seen[own]
+        keys, values = right["key"].to_numpy(), right["value"].to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
         out: list[list] = [[], [], [], [], []]
         for chunk in chunks(left["text"]):
-            sums = []
-            for kind, (asked, at) in ((GRAM, _grams(chunk, depth)), (WORD, _tokens(chunk))):
-                k, v, s = table[kind]
-                place = np.searchsorted(k, asked)
-                sums.append((np.add.reduceat(v[place], at[:-1]), np.add.reduceat(s[place].astype(np.int64), at[:-1]), np.diff(at)))
-            for column, new in zip(out, (np.diff(chunk.offsets), sums[1][2], sums[1][1], sums[1][0], sums[0][0]), strict=True):
+            (grams, at), (tokens, token_at) = _grams(chunk, depth), _tokens(chunk)
+            count = values[np.searchsorted(keys, tokens)]
+            base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1)), token_at[:-1])
+            ours = np.add.reduceat(values[np.searchsorted(keys, grams)], at[:-1])
+            for column, new in zip(out, (np.diff(chunk.offsets), np.diff(token_at), np.add.reduceat((count > 0).astype(np.int64), token_at[:-1]), base, ours), strict=True):
                 column.append(new)
         n_bytes, n_tokens, n_known, base_score, found = (np.concatenate(c) for c in out)
         columns = [left["doc_id"], left["learn"], n_bytes, n_tokens, n_known, np.full(len(n_bytes), total, np.int64), base_score, found]
