@@ -66,23 +66,28 @@ class NaiveBayesSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
-def _hinge(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+def _scaled(flat: np.ndarray, at: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """The features' ratios, each row brought to length one."""
+    x = ratios[flat].astype(np.float32)
+    square = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])[at]
+    return x / np.repeat(np.sqrt(np.maximum(np.diff(square), 1e-12)), np.diff(at)).astype(np.float32)
+
+
+def _hinge(flat: np.ndarray, at: np.ndarray, use: np.ndarray, y: np.ndarray, ratios: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
     """Weights and bias of the L2-regularised squared-hinge model by dual coordinate descent.
 
     min |w|^2/2 + sum cost_i max(0, 1 - y_i w.x_i)^2: each step solves one dual variable and moves w along its row.
     Rows have length one, and a constant feature of value one for the bias, so every row's Q_ii is 2 + 1/(2 cost).
     """
     w, bias = np.zeros(len(ratios)), 0.0
-    alpha = np.zeros(len(rows))
-    scaled = []
-    for r in rows:
-        x = ratios[r]
-        scaled.append(x / max(1e-12, float(np.sqrt(x @ x))))
+    alpha = np.zeros(len(y))
+    scaled = _scaled(flat, at, ratios)
+    begin, end = at[:-1].tolist(), at[1:].tolist()
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
-        for i in rng.permutation(len(rows)):
-            r, x = rows[i], scaled[i]
+        for i in rng.permutation(use).tolist():
+            r, x = flat[begin[i] : end[i]], scaled[begin[i] : end[i]]
             gradient = y[i] * (w[r] @ x + bias) - 1 + alpha[i] / (2 * cost[i])
             new = max(0.0, alpha[i] - gradient / ((2.0 if len(r) else 1.0) + 1 / (2 * cost[i])))
             step = (new - alpha[i]) * y[i]
@@ -126,30 +131,36 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, sizes: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [v[a:b].tolist() for v, at in features_of(batch.column(2), sizes) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "label", "features"])
+            found = list(features_of(batch.column(2), sizes))
+            lengths = np.concatenate([np.diff(at) for _, at in found]) if found else np.zeros(0, dtype=np.int64)
+            values = np.concatenate([v for v, _ in found]).astype(np.int32) if found else np.zeros(0, dtype=np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "label", "features"])
 
     table = labelled.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
     y = np.where(table["label"].to_numpy() > 0, 1.0, -1.0) if table.num_rows else np.zeros(0)
-    rows = [np.asarray(x.values.to_numpy(), dtype=np.int64) for x in table["features"]]
     if len(set(y.tolist())) < 2:
         share = (1 + (y > 0).sum()) / (2 + len(y)) if len(y) else 0.5
         return NaiveBayesSvm(np.ones(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))), sizes)
-    counts = {k: np.bincount(np.concatenate([r for r, l in zip(rows, y, strict=True) if l == k]), minlength=BUCKETS) + 1.0 for k in (1.0, -1.0)}
-    ratios = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    lists = pa.chunked_array([c.cast(pa.large_list(pa.int32())) for c in table["features"].chunks]).combine_chunks()
+    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    del table, lists
+    of_up = np.repeat(y > 0, np.diff(at))
+    counts = {k: np.bincount(flat[of_up == k], minlength=BUCKETS) + 1.0 for k in (True, False)}
+    del of_up
+    ratios = np.log(counts[True] / counts[True].sum()) - np.log(counts[False] / counts[False].sum())
     each = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
     back = np.arange(len(y)) % 5 == 4
 
     def model(train: np.ndarray) -> tuple[np.ndarray, float]:
-        k = np.flatnonzero(train)
-        return _hinge([rows[i] for i in k], y[k], ratios, each[k], rounds, seed)
+        return _hinge(flat, at, np.flatnonzero(train), y, ratios, each, rounds, seed)
 
     slope, shift = 1.0, 0.0
     if len(set(y[back].tolist())) == 2 and len(set(y[~back].tolist())) == 2:
         w, bias = model(~back)
-        at = np.concatenate([[0], np.cumsum([len(rows[i]) for i in np.flatnonzero(back)])])
-        held = NaiveBayesSvm(ratios, w * ratios, bias, 1.0, 0.0, sizes).margins(np.concatenate([rows[i] for i in np.flatnonzero(back)]), at)
-        slope, shift = _calibrated(held, y[back])
+        held = NaiveBayesSvm(ratios, w * ratios, bias, 1.0, 0.0, sizes)
+        margins = np.concatenate([held.margins(flat[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]])) for i in np.flatnonzero(back)])
+        slope, shift = _calibrated(margins, y[back])
     w, bias = model(np.ones(len(y), dtype=bool))
     return NaiveBayesSvm(ratios, w * ratios, bias, slope, shift, sizes)
 
