@@ -5,12 +5,68 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quayside.functions.jail import canonical, path_code, ratio_exceeds
+from quayside.operators import admission, structure
+from quayside.sources.archives import decode, pack
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def source_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of every source's bytes."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive for each document: its path is source/lang/doc_id.txt."""
+    name = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return pack(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), F.lit(0).alias("seq"), name.alias("name"), F.col("text").cast("binary").alias("data")))
+
+
+def members_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored members of packed archives that fail no structural or admission check, read from the archive's bytes."""
+    archives = _packed(spark, sf_dir)
+    decoded = decode(archives)
+    each = structure.entries(decoded).withColumn("raw", structure.decoded_name())
+    bad = structure.first_failures(decoded).select("archive_id").union(admission.findings(each).select("archive_id")).distinct()
+    good = each.join(bad, "archive_id", "left_anti").where("method = 0")
+    held = good.join(archives.select("archive_id", "content"), "archive_id")
+    data = F.expr("substring(content, cast(payload_offset + 1 AS int), cast(packed AS int))")
+    return held.select(F.col("raw").alias("path"), F.octet_length(data).cast("long").alias("uncomp_bytes"), F.sha2(data, 256).alias("sha256"), F.crc32(data) == F.col("crc")).toDF("path", "uncomp_bytes", "sha256", "crc_ok")
+
+
+def path_jail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path rules over page addresses without their scheme."""
+    raw = F.regexp_replace("url", "^[a-z]+://", "")
+    return _table(spark, sf_dir, "pages").select("page_id", path_code(raw).alias("code"), F.when(path_code(raw).isNull(), canonical(raw)).alias("path"))
+
+
+def quota_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact ratio check over pairs of sizes."""
+    plain, packed = F.col("l_partkey"), F.col("l_linenumber").cast("long")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ratio_exceeds(plain, packed, F.lit(100).cast("long")).alias("exceeds"))
+
+
+def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members whose path, or its lower case, an earlier member of the brand has."""
+    members = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("archive_id"), F.col("p_partkey").alias("cd_index"), F.col("p_name").alias("path"))
+    return admission.repeated_paths(members)
+
+
+def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members and bytes of each source's documents."""
+    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-FLAGSHIP = source_digest
-QUERIES = {"source_digest": source_digest}
-SQL = {"source_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents"}
+FLAGSHIP = members_inventory
+QUERIES = {f.__name__: f for f in (source_digest, members_inventory, path_jail, quota_ratio, duplicate_paths, archive_summary)}
+SQL = {
+    "source_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "members_inventory": "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS uncomp_bytes, sha256(text) AS sha256, true AS crc_ok FROM documents",
+    "quota_ratio": "SELECT l_orderkey, l_linenumber, l_partkey::HUGEINT > 100 * l_linenumber::HUGEINT AS exceeds FROM lineitem",
+    "duplicate_paths": """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS a, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS b FROM part)
+SELECT p_brand AS archive_id, p_partkey AS cd_index, CASE WHEN a > 1 THEN 'zip.diff.b1_dup' ELSE 'path.case_fold' END AS code FROM r WHERE a > 1 OR b > 1""",
+    "archive_summary": "SELECT source, count(*) AS members, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source",
+}
