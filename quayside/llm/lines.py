@@ -196,6 +196,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int =
 
     source = [f.name for f in docs.schema.fields]
     if repeated.count() <= broadcast_keys:
+        bits.destroy()  # no later step of this way reads it; workers would keep a copy of each run's
         table = repeated.toArrow()
         order = np.argsort(hs := table["h"].to_numpy())
         sent = spark.sparkContext.broadcast((hs[order], table["h2"].to_numpy()[order], [table["first"].to_pylist()[i] for i in order.tolist()]))
