@@ -53,4 +53,4 @@ def path_code(raw: Column, max_depth: int = 32) -> Column:
 
 def ratio_exceeds(plain: Column, packed: Column, most: Column) -> Column:
     """Whether plain > most * packed, without overflow of longs; nothing packed makes any plain byte too much."""
-    return F.when(most.isNull(), F.lit(False)).when(packed == 0, plain > 0).otherwise((plain > 0) & (F.floor((plain - 1) / packed) >= most))
+    return F.when(most.isNull(), F.lit(False)).when(packed == 0, plain > 0).otherwise((plain > 0) & (F.call_function("div", plain - 1, packed) >= most))
