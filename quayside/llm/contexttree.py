@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.spans import SPACE, U64, Chunk, chunks
+from quayside.llm.spans import SPACE, U64, Chunk, chunks, mix64
 from quayside.llm.store import keep
 
 #: Stands before a text's first byte and after its last; no byte of UTF-8.
@@ -19,16 +20,16 @@ EDGE = 0xFF
 END = 1
 
 
-def _ln_gamma(x: Column) -> Column:
-    """ln of Gamma(x), x >= 1/2, by Stirling's series at x + 6; right to ten digits."""
+def _ln_gamma(x, log):
+    """ln of Gamma(x), x >= 1/2, by Stirling's series at x + 6; right to ten digits. Of columns or of arrays."""
     y = x + 6
-    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return series - F.log(x * (x + 1) * (x + 2)) - F.log((x + 3) * (x + 4) * (x + 5))
+    series = (y - 0.5) * log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - log(x * (x + 1) * (x + 2)) - log((x + 3) * (x + 4) * (x + 5))
 
 
-def kt(zeros: Column, ones: Column) -> Column:
+def kt(zeros, ones, log=F.log):
     """ln of the Krichevsky-Trofimov probability of a sequence with so many zeros and ones."""
-    return _ln_gamma(zeros + 0.5) + _ln_gamma(ones + 0.5) - _ln_gamma(zeros + ones + 1.0) - math.log(math.pi)
+    return _ln_gamma(zeros + 0.5, log) + _ln_gamma(ones + 0.5, log) - _ln_gamma(zeros + ones + 1.0, log) - math.log(math.pi)
 
 
 def _grams(chunk: Chunk, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,103 +55,215 @@ def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return keys, at + np.arange(len(at))
 
 
-def _observed(docs: DataFrame, depth: int) -> DataFrame:
-    """(key, block, n) of (block, learn, text): the distinct grams and words, and how often they are learned from."""
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, byte by byte of their places."""
+    return zlib.compress(np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their counts."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _part(keys: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """Grams are dealt by the nearest bytes of their context, words (in parts of their own) by their hash."""
+    near = np.where(keys < 0, keys, (keys >> 8) & ((1 << 8 * _split(depth)) - 1))
+    return (mix64(near.view(U64)) % U64(parts)).astype(np.int64) + np.where(keys < 0, parts, 0)
+
+
+def _split(depth: int) -> int:
+    return min(3, depth)
+
+
+def _observed(docs: DataFrame, depth: int, parts: int) -> DataFrame:
+    """(block, part, keys, n) of (block, learn, text): the block's distinct grams and words of that part, and how often each is learned from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for batch in batches:
             blocks, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
             for block in np.unique(blocks).tolist():
                 own = np.flatnonzero(blocks == block)
-                held = []
                 for chunk in chunks(batch.column(2).take(pa.array(own)), 1 << 22):
-                    counts = learn[own[chunk.first : chunk.first + len(chunk)]]
-                    for keys, at in (_grams(chunk, depth), _tokens(chunk)):
-                        u, where = np.unique(keys, return_inverse=True)
-                        held.append((u, np.bincount(where, weights=np.repeat(counts, np.diff(at)), minlength=len(u))))
-                u, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-                n = np.bincount(where, weights=np.concatenate([c for _, c in held]), minlength=len(u)).astype(np.int64)
-                for k in range(0, len(u), 100_000):
-                    m = len(u[k : k + 100_000])
-                    yield pa.RecordBatch.from_arrays([pa.array(u[k : k + m]), pa.array(np.full(m, block, np.int64)), pa.array(n[k : k + m])], names=["key", "block", "n"])
+                    counts = learn[own[chunk.first : chunk.first + len(chunk)]].astype(np.int64)
+                    grams, at = _grams(chunk, depth)
+                    u, n = np.unique(grams << 1 | np.repeat(counts, np.diff(at)), return_counts=True)
+                    words, at = _tokens(chunk)
+                    new = [_summed(u >> 1, np.where(u & 1, n, 0)), _summed(words, np.repeat(counts, np.diff(at)))]
+                    held.setdefault(block, []).extend(new)
+                    if len(held[block]) >= 16:
+                        held[block] = [_summed(*(np.concatenate(x) for x in zip(*held[block], strict=True)))]
+        for block, found in held.items():
+            keys, n = _summed(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            part = _part(keys, depth, parts)
+            order = np.argsort(part, kind="stable")
+            keys, n, part = keys[order], n[order], part[order]
+            at = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+            for i, j in zip(at[:-1], at[1:], strict=True):
+                yield pa.RecordBatch.from_pydict({"block": [block], "part": [int(part[i])], "keys": [_packed(keys[i:j])], "n": [zlib.compress(n[i:j].astype(np.int64).tobytes(), 1)]})
 
-    return docs.mapInArrow(run, "key long, block long, n long").withColumn("block", F.col("block").cast("int"))
+    return docs.mapInArrow(run, "block long, part long, keys binary, n binary")
 
 
-def _choices(grams: DataFrame) -> DataFrame:
-    """Eight rows a gram: id (context and the byte's higher bits, with a leading one) and the bit chosen there."""
-    sym, ctx = F.col("key").bitwiseAND(F.lit(255)), F.shiftright("key", 8)
-    rows = [F.struct((F.shiftleft(ctx, 8) + F.shiftright(sym + 256, k + 1)).alias("id"), F.shiftright(sym, k).bitwiseAND(F.lit(1)).alias("bit")) for k in range(8)]
-    return grams.select("key", "n", F.explode(F.array(*rows)).alias("c")).select("key", "n", "c.id", "c.bit")
+class _Subtrees:
+    """A part's nodes at the orders from the split to the full depth: each level's parents, counts and weights."""
 
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        sym, ctx = keys & 255, keys >> 8
+        rows = [(ctx << 8) + ((sym + 256) >> (k + 1)) for k in range(8)]
+        self.bits = np.stack([(sym >> k) & 1 for k in range(8)])
+        ids, place = np.unique(np.stack(rows), return_inverse=True)
+        self.choice, times = place.reshape(8, -1), np.broadcast_to(n, self.bits.shape)
+        n1 = np.bincount(place.ravel(), weights=(times * self.bits).ravel(), minlength=len(ids))
+        n0 = np.bincount(place.ravel(), weights=(times * (1 - self.bits)).ravel(), minlength=len(ids))
+        ln_pw, w = kt(n0, n1, np.log), np.ones(len(ids))
+        self.levels = []
+        for d in range(depth - 1, _split(depth) - 2, -1):
+            up_ids, up = np.unique(ids & ((1 << (8 * d + 8)) - 1), return_inverse=True)
+            self.levels.append((n0, n1, w, up))
+            n0, n1, split = (np.bincount(up, weights=x, minlength=len(up_ids)) for x in (n0, n1, ln_pw))
+            ids = up_ids
+            if d >= _split(depth):
+                stop = kt(n0, n1, np.log)
+                ln_pw = np.logaddexp(stop, split) - math.log(2)
+                w = np.exp(stop - math.log(2) - ln_pw)
+        self.top, self.n0, self.n1, self.split = ids, n0, n1, split
 
-def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
-    """(key, value) of ``grams`` (key, n): log10 of the byte's probability after its context.
+    def values(self, a: np.ndarray, s: np.ndarray, r: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """log10 of each gram's probability, given what is mixed above the split: see ``_above``."""
+        for n0, n1, w, up in reversed(self.levels):
+            a, s, r, last = a[up], s[up], r[up], last[up]
+            seen, one, own = n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1), r * w
+            a, s, last = np.where(seen, a + own * one, a), np.where(seen, s + own, s), np.where(seen, one, last)
+            r = np.where(seen, r * (1 - w), r)
+        p = np.where(s > 1e-200, np.divide(a, s, out=np.zeros_like(a), where=s > 1e-200), last)[self.choice]
+        return np.log10(np.where(self.bits == 1, p, 1 - p)).sum(axis=0)
 
-    Each node of a binary choice's tree (a context of d bytes) weighs stopping there, with its KT estimate, against its
-    children: Pw = (KT + product of children's Pw) / 2, KT alone at the full depth. A choice's probability mixes the KT
-    estimates along its context, by the posterior of stopping at each. Nodes never learned from pass on what is above,
-    renormalised. Level by level, each a grouped sum up or an equi-join down; no node table leaves the executors.
-    """
-    nodes = _choices(grams).groupBy("id").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("n0"), F.sum(F.col("n") * F.col("bit")).alias("n1"))
-    levels = []
-    for d in range(depth, -1, -1):
-        ln_kt = kt(F.col("n0"), F.col("n1"))
-        if d == depth:
-            level = nodes.withColumn("w", F.lit(1.0)).withColumn("ln_pw", ln_kt)
+
+def _read(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each row's keys, and the distinct keys of all with their counts."""
+    each = [_unpacked(x.as_py()) for x in rows["keys"]]
+    return each, *_summed(np.concatenate(each), np.concatenate([np.frombuffer(zlib.decompress(x.as_py()), dtype=np.int64) for x in rows["n"]]))
+
+
+def _roots(asked: DataFrame, depth: int) -> DataFrame:
+    """(part, id, n0, n1, split) of each part's parents of the split; words give id -1, their number and the distinct ones learned."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        _, keys, n = _read(rows)
+        if keys[0] < 0:
+            found = [np.array([-1]), np.array([float(n.sum())]), np.array([float((n > 0).sum())]), np.zeros(1)]
         else:
-            below = levels[-1].groupBy(F.col("id").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("id"))
-            level = below.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("ln_pw").alias("split")).withColumn("kt", ln_kt)
-            top = F.greatest("kt", "split")
-            level = level.withColumn("ln_pw", top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("split") - top)) - math.log(2))
-            level = level.withColumn("w", F.exp(F.col("kt") - math.log(2) - F.col("ln_pw")))
-        levels.append(keep(level.select("id", "n0", "n1", "ln_pw", "w"), f"level-{d}"))
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    seen = (F.col("n0") + F.col("n1") > 0)
-    # a: mixed estimate so far, s: the weight in it, r: the weight left for deeper contexts, last: the deepest estimate
+            tree = _Subtrees(keys, n, depth)
+            found = [tree.top, tree.n0, tree.n1, tree.split]
+        return pa.table([np.full(len(found[0]), rows["part"][0].as_py(), np.int64), *found], names=["part", "id", "n0", "n1", "split"])
+
+    return asked.groupBy("part").applyInArrow(run, "part long, id long, n0 double, n1 double, split double")
+
+
+def _above(roots: DataFrame, depth: int) -> DataFrame:
+    """(id, a, s, r, last) of the nodes over the split.
+
+    a: estimate mixed so far, s: the weight in it, r: the weight left for deeper contexts, last: the deepest estimate.
+    Level by level, each a grouped sum up or an equi-join down.
+    """
+    top, levels = _split(depth) - 1, []
+    for d in range(top, -1, -1):
+        below = roots if d == top else levels[-1].withColumnRenamed("ln_pw", "split")
+        level = below.groupBy(F.col("id").bitwiseAND(F.lit((1 << (8 * d + 8)) - 1)).alias("id")).agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "split")])
+        level, most = level.withColumn("kt", kt(F.col("n0"), F.col("n1"))), F.greatest("kt", "split")
+        level = level.withColumn("ln_pw", most + F.log(F.exp(F.col("kt") - most) + F.exp(F.col("split") - most)) - math.log(2))
+        levels.append(keep(level.select("id", "n0", "n1", "ln_pw", F.exp(F.col("kt") - math.log(2) - F.col("ln_pw")).alias("w")), f"level-{d}"))
+    one, seen = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1), F.col("n0") + F.col("n1") > 0
     above = levels[-1].select("id", (F.col("w") * one).alias("a"), F.col("w").alias("s"), (1 - F.col("w")).alias("r"), one.alias("last"))
-    for d, level in zip(range(1, depth + 1), reversed(levels[:-1]), strict=True):
+    for d, level in zip(range(1, top + 1), reversed(levels[:-1]), strict=True):
         up = level.withColumn("up", F.col("id").bitwiseAND(F.lit((1 << (8 * d)) - 1))).join(above.withColumnRenamed("id", "up"), "up")
         own = F.col("r") * F.col("w")
         deeper = {"a": F.col("a") + own * one, "s": F.col("s") + own, "r": F.col("r") * (1 - F.col("w")), "last": one}
         above = up.select("id", *[F.when(seen, new).otherwise(F.col(name)).alias(name) for name, new in deeper.items()])
-    p = above.select("id", F.when(F.col("s") > 1e-200, F.try_divide("a", "s")).otherwise(F.col("last")).alias("p"))
-    # a context's nodes (255 at most) come to its grams together: far fewer rows than eight for each gram
-    of_context = p.groupBy(F.shiftright("id", 8).alias("ctx")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").bitwiseAND(F.lit(255)).cast("int"), "p"))).alias("ps"))
-    sym = F.col("key").bitwiseAND(F.lit(255)).cast("int")
-    chosen = []
-    for k in range(8):
-        one = F.try_element_at("ps", F.shiftright(sym + 256, k + 1))
-        chosen.append(F.log10(F.when(F.shiftright(sym, k).bitwiseAND(F.lit(1)) == 1, one).otherwise(1 - one)))
-    return grams.withColumn("ctx", F.shiftright("key", 8)).join(of_context, "ctx").select("key", sum(chosen[1:], chosen[0]).alias("value"))
-
-
-def score(docs: DataFrame, learn: Column, *, depth: int = 4) -> DataFrame:
+    return above
+
+
+def _answers(asked: DataFrame, depth: int) -> tuple[DataFrame, int, int]:
+    """(block, keys, values) for each row of ``asked``, and the number of words learned from and of distinct ones.
+
+    Each node of a binary choice's tree (a context of d bytes) weighs stopping there, with its KT estimate, against its
+    children: Pw = (KT + product of children's Pw) / 2, KT alone at the full depth. A choice's probability mixes the KT
+    estimates along its context, by the posterior of stopping at each. Nodes never learned from pass on what is above,
+    renormalised. A part holds whole subtrees, from the split down; the orders over it are tables. A word's value is
+    its count.
+    """
+    roots = keep(_roots(asked, depth), "roots")
+    total, distinct = (int(x) for x in roots.where("id < 0").agg(F.coalesce(F.sum("n0"), F.lit(0.0)), F.coalesce(F.sum("n1"), F.lit(0.0))).first())
+    trees = roots.where("id >= 0")
+    given = trees.select("part", "id").join(_above(trees, depth), "id")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        each, keys, n = _read(left)
+        values = n.astype(np.float64)
+        if keys[0] >= 0:
+            tree, ids = _Subtrees(keys, n, depth), right["id"].to_numpy()
+            place = np.argsort(ids)[np.searchsorted(np.sort(ids), tree.top)]
+            values = tree.values(*(right[x].to_numpy()[place] for x in ("a", "s", "r", "last")))
+        out = [values[np.searchsorted(keys, k)].tobytes() for k in each]
+        return pa.table([left["block"], left["keys"], pa.array(out, pa.binary())], names=["block", "keys", "values"])
+
+    return asked.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(run, "block long, keys binary, values binary"), total, distinct
+
+
+def gram_scores(grams: DataFrame, depth: int) -> DataFrame:
+    """(key, value) of ``grams`` (key, n): log10 of the byte's probability after its context; for large sets see ``score``."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        keys, n = _summed(rows["key"].to_numpy(), rows["n"].to_numpy())
+        return pa.table({"block": [0], "part": [rows["part"][0].as_py()], "keys": [_packed(keys)], "n": [zlib.compress(n.astype(np.int64).tobytes(), 1)]})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, values in zip(batch.column("keys"), batch.column("values"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(keys.as_py())), pa.array(np.frombuffer(values.as_py()))], names=["key", "value"])
+
+    near = F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * _split(depth)) - 1))
+    asked = grams.select("key", "n", near.alias("part")).groupBy("part").applyInArrow(pack, "block long, part long, keys binary, n binary")
+    return _answers(keep(asked, "asked"), depth)[0].mapInArrow(unpack, "key long, value double")
+
+
+def score(docs: DataFrame, learn: Column, *, depth: int = 4, block_bytes: int = 16_000_000) -> DataFrame:
     """(doc_id, learned, n_bytes, n_tokens, n_known, train_tokens, base_score, score) of ``docs`` (doc_id, text, any more).
 
     score: log10 of the probability of the text's bytes (A-Z lower-cased) and its end; bits per byte are
     -score * log2(10) / n_bytes. The model is learned from the rows where ``learn`` is true (null: true). base_score:
     log10 probability by word counts, each plus one. A null text counts as empty: its end alone. Other columns are
-    ignored; repeated rows count each time.
+    ignored; repeated rows count each time. ``depth`` is 1 to 6.
 
-    Plan: documents go to blocks by a hash of their id. A block's distinct grams and words are its questions; their
-    counts meet by key, the model is made of tables, and each block gets the answers to its own questions, so a
-    task holds a block and never the model. As many blocks as shuffle partitions.
+    Plan: documents go to blocks of some ``block_bytes`` by a hash of their id. A block's distinct grams and words are
+    its questions, sent packed to the part that holds the subtrees of their contexts, as many parts as blocks, 1,000 at
+    most. A part answers each block's questions, so a task holds a block or a part and never the model. Three hundred
+    million bytes of text give some 20 blocks; for far larger inputs raise ``block_bytes`` with the executors' memory.
     """
-    spark = docs.sparkSession
-    blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    asked = keep(_observed(rows.select("block", "learn", "text").repartition(blocks, "block"), depth), "asked")
-    known = keep(asked.groupBy("key").agg(F.sum("n").alias("n")), "known")
-    words = known.where("key < 0")
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
-    answers = gram_scores(known.where("key >= 0"), depth).union(words.select("key", F.col("n").cast("double")))
-    given = asked.select("block", "key").join(answers, "key").select("block", "key", "value")
+    if not 1 <= depth <= 6:
+        raise ValueError("depth must be 1 to 6")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = size // block_bytes + 1
+    parts = min(1000, blocks + 7)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"), F.coalesce(learn, F.lit(True)).alias("learn"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    asked = keep(_observed(rows.select("block", "learn", "text").repartition(blocks, "block"), depth, parts), "asked")
+    answers, total, distinct = _answers(asked, depth)
+    answers = keep(answers, "answers")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, values = right["key"].to_numpy(), right["value"].to_numpy()
+        keys = np.concatenate([_unpacked(x.as_py()) for x in right["keys"]])
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
+        keys, values = keys[order], np.concatenate([np.frombuffer(x.as_py()) for x in right["values"]])[order]
         out: list[list] = [[], [], [], [], []]
         for chunk in chunks(left["text"]):
             (grams, at), (tokens, token_at) = _grams(chunk, depth), _tokens(chunk)
@@ -164,7 +277,7 @@ def score(docs: DataFrame, learn: Column, *, depth: int = 4) -> DataFrame:
         return pa.table(columns, names=["doc_id", "learned", "n_bytes", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = "doc_id long, learned boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(run, schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op5_lm_score(spark, sf_dir: str, depth: int = 5) -> DataFrame:
