@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.jail import canonical, path_code, ratio_exceeds
-from quayside.operators import admission, structure
+from quayside.operators import admission, covering, outcomes, roots, structure, verification
 from quayside.sources.archives import decode, pack
 
 
@@ -60,8 +60,68 @@ def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deflated archive for each document; in German, its path is absolute."""
+    name = F.concat(F.when(F.col("lang") == "de", "/").otherwise(""), "source", F.lit("/"), F.col("doc_id").cast("string"))
+    return pack(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), F.lit(0).alias("seq"), name.alias("name"), F.col("text").cast("binary").alias("data")), deflate=True)
+
+
+def verified_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member of the compressed archives, decoded and compared with its record."""
+    archives = _compressed(spark, sf_dir)
+    return verification.verify(archives, structure.entries(decode(archives))).select("archive_id", "cd_index", "size", "sha256", "status", "code")
+
+
+def archive_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answer for each compressed archive."""
+    return outcomes.inspect(_compressed(spark, sf_dir)).select("archive_id", "phase", "code", "result", "interpretation", "admission", "verification", "verdict", "exit_code")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), "source")
+    return outcomes.corpus_counts(outcomes.inspect(_compressed(spark, sf_dir)).join(source, "archive_id"), F.col("source"))
+
+
+def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many compressed archives of each source come to each result."""
+    return _classified(spark, sf_dir)
+
+
+def corpus_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where those counts differ from the expectation that all archives are allowed."""
+    expected = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("class")).agg(F.count(F.lit(1)).alias("n")).withColumn("result", F.lit("ALLOWED"))
+    return outcomes.corpus_gate(_classified(spark, sf_dir), expected)
+
+
+def covering_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the ranges that decoding claims."""
+    archives = _compressed(spark, sf_dir)
+    decoded = decode(archives)
+    claims = decoded.select("archive_id", "sha256", "cd_offset", "cd_size", "end_offset", F.octet_length("comment").alias("comment_size"), F.col("total_count").alias("count"))
+    return covering.audit(archives, claims, structure.entries(decoded))
+
+
+def _with_paths(decoded: DataFrame) -> DataFrame:
+    each = structure.entries(decoded).withColumn("raw", structure.decoded_name())
+    return each.join(admission.judged_members(each, admission.Caps()).where("code IS NULL").select("archive_id", "cd_index", "path", "is_dir"), ["archive_id", "cd_index"])
+
+
+def content_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content digest of each packed archive."""
+    archives = _packed(spark, sf_dir)
+    members = _with_paths(decode(archives))
+    checked = verification.verify(archives, members).select("archive_id", "cd_index", "size", "sha256", "status")
+    return roots.content_roots(members.select("archive_id", "cd_index", "path", "is_dir").join(checked, ["archive_id", "cd_index"]))
+
+
+def layout_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout digest of each packed archive."""
+    decoded = decode(_packed(spark, sf_dir))
+    return roots.layout_roots(decoded, _with_paths(decoded))
+
+
 FLAGSHIP = members_inventory
-QUERIES = {f.__name__: f for f in (source_digest, members_inventory, path_jail, quota_ratio, duplicate_paths, archive_summary)}
+QUERIES = {f.__name__: f for f in (source_digest, members_inventory, path_jail, quota_ratio, duplicate_paths, archive_summary, verified_members, archive_outcomes, corpus_counts, corpus_gate, covering_audit, content_root, layout_root)}
 SQL = {
     "source_digest": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "members_inventory": "SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path, octet_length(encode(text))::BIGINT AS uncomp_bytes, sha256(text) AS sha256, true AS crc_ok FROM documents",
@@ -69,4 +129,11 @@ SQL = {
     "duplicate_paths": """WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS a, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS b FROM part)
 SELECT p_brand AS archive_id, p_partkey AS cd_index, CASE WHEN a > 1 THEN 'zip.diff.b1_dup' ELSE 'path.case_fold' END AS code FROM r WHERE a > 1 OR b > 1""",
     "archive_summary": "SELECT source, count(*) AS members, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source",
+    "verified_members": "SELECT doc_id::VARCHAR AS archive_id, 0::INTEGER AS cd_index, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256, 'verified' AS status, NULL::VARCHAR AS code FROM documents",
+    "archive_outcomes": """SELECT doc_id::VARCHAR AS archive_id, CASE WHEN lang = 'de' THEN 'admission' END AS phase, CASE WHEN lang = 'de' THEN 'path.absolute' END AS code, CASE WHEN lang = 'de' THEN 'path.absolute' ELSE 'ALLOWED' END AS result,
+'interpreted' AS interpretation, CASE WHEN lang = 'de' THEN 'denied' ELSE 'admitted' END AS admission, CASE WHEN lang = 'de' THEN 'structure-only' ELSE 'complete' END AS verification, CASE WHEN lang = 'de' THEN 'rejected' ELSE 'allowed' END AS verdict, CASE WHEN lang = 'de' THEN 2 ELSE 0 END::INTEGER AS exit_code FROM documents""",
+    "corpus_counts": "SELECT source AS class, CASE WHEN lang = 'de' THEN 'path.absolute' ELSE 'ALLOWED' END AS result, count(*) AS n, min(doc_id::VARCHAR) AS first FROM documents GROUP BY ALL",
+    "corpus_gate": """WITH a AS (SELECT source AS class, CASE WHEN lang = 'de' THEN 'path.absolute' ELSE 'ALLOWED' END AS result, count(*) AS n FROM documents GROUP BY ALL), e AS (SELECT source AS class, 'ALLOWED' AS result, count(*) AS expected_n FROM documents GROUP BY ALL)
+SELECT * FROM a FULL JOIN e USING (class, result) WHERE n IS DISTINCT FROM expected_n""",
+    "covering_audit": "SELECT doc_id::VARCHAR AS archive_id, NULL::VARCHAR AS code FROM documents",
 }

@@ -19,7 +19,7 @@ _LOCAL, _CENTRAL, _END = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"
 ENTRY = (
     "cd_index int, cdh_offset long, cdh_end long, name binary, method int, flags int, crc long, packed long, plain long, lfh_offset long, "
     "attributes long, made_by int, comment binary, lfh_ok boolean, lfh_in boolean, lfh_name binary, lfh_method int, lfh_flags int, lfh_crc long, "
-    "lfh_packed long, lfh_plain long, payload_offset long, extra_bad boolean, extra_ids array<int>, record_end long, descriptor_ok boolean, ok boolean"
+    "lfh_packed long, lfh_plain long, payload_offset long, extra_bad boolean, extra_ids array<int>, extras array<struct<site:int,id:int,at:long,size:int>>, record_end long, descriptor_ok boolean, ok boolean"
 )
 DECODED = f"archive_id string, length long, sha256 string, end_offset long, disk int, cd_disk int, this_count int, total_count int, cd_size long, cd_offset long, comment binary, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -63,17 +63,18 @@ def pack(members: DataFrame, deflate: bool = False) -> DataFrame:
     return members.select("archive_id", "seq", "name", "data").groupBy("archive_id").applyInArrow(run, "archive_id string, length long, content binary")
 
 
-def _extras(blob: bytes) -> tuple[bool, list[int]]:
-    ids, at = [], 0
+def _extras(blob: bytes, site: int, base: int) -> tuple[bool, list[dict]]:
+    """Whether the extra fields of one header (site 1: local, 2: central) are malformed, and those up to there; base is their offset."""
+    found, at = {}, 0
     while at < len(blob):
         if at + 4 > len(blob):
-            return True, ids
+            return True, [*found.values()]
         kind, size = struct.unpack_from("<HH", blob, at)
         at += 4 + size
-        if at > len(blob) or kind in ids:
-            return True, ids
-        ids.append(kind)
-    return False, ids
+        if at > len(blob) or kind in found:
+            return True, [*found.values()]
+        found[kind] = {"site": site, "id": kind, "at": base + at - size, "size": size}
+    return False, [*found.values()]
 
 
 def _entry(data: bytes, k: int, at: int, end: int) -> tuple[dict, int]:
@@ -84,7 +85,7 @@ def _entry(data: bytes, k: int, at: int, end: int) -> tuple[dict, int]:
     stop = at + 46 + n + x + c
     if stop > end:
         return {"cd_index": k, "cdh_offset": at, "ok": False}, end + 1
-    bad, ids = _extras(data[at + 46 + n : at + 46 + n + x])
+    bad, extras = _extras(data[at + 46 + n : at + 46 + n + x], 2, at + 46 + n)
     row = {"cd_index": k, "cdh_offset": at, "cdh_end": stop, "name": data[at + 46 : at + 46 + n], "method": method, "flags": flags, "crc": crc, "packed": packed, "plain": plain, "lfh_offset": lfh, "attributes": attributes, "made_by": made, "comment": data[stop - c : stop], "ok": True}
     row["lfh_in"] = lfh + 30 <= len(data)
     row["lfh_ok"] = row["lfh_in"] and data[lfh : lfh + 4] == LOCAL
@@ -92,8 +93,8 @@ def _entry(data: bytes, k: int, at: int, end: int) -> tuple[dict, int]:
         _, _, f, m, _, _, lcrc, lpacked, lplain, ln, lx = _LOCAL.unpack_from(data, lfh)
         start = lfh + 30 + ln + lx
         row["lfh_in"] = start <= len(data)
-        more_bad, more = _extras(data[lfh + 30 + ln : start])
-        bad, ids = bad or more_bad, ids + more
+        more_bad, more = _extras(data[lfh + 30 + ln : start], 1, lfh + 30 + ln)
+        bad, extras = bad or more_bad, extras + more
         row |= {"lfh_name": data[lfh + 30 : lfh + 30 + ln], "lfh_method": m, "lfh_flags": f, "lfh_crc": lcrc, "lfh_packed": lpacked, "lfh_plain": lplain, "payload_offset": start}
         row["record_end"], row["descriptor_ok"] = start + packed, True
         if flags & 8:
@@ -102,7 +103,7 @@ def _entry(data: bytes, k: int, at: int, end: int) -> tuple[dict, int]:
             fields = tail[4:16] if signed else tail[:12]
             row["record_end"] += 16 if signed else 12
             row["descriptor_ok"] = len(fields) == 12 and struct.unpack("<3I", fields) == (crc, packed, plain)
-    return row | {"extra_bad": bad, "extra_ids": ids}, stop
+    return row | {"extra_bad": bad, "extra_ids": [x["id"] for x in extras], "extras": extras}, stop
 
 
 def decode_bytes(data: bytes, max_files: int) -> dict:
