@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm.spans import ALNUM, Chunk, chunks
+from quayside.llm.store import bound_batches
 
 
 class SuffixAutomaton:
@@ -185,6 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
 
     Plan: the automaton (at most ``max_item_bytes`` of item text) goes to all tasks; one scan, no shuffle.
     """
+    bound_batches(docs.sparkSession)
     windows, ids = compile_items(benchmark, window, max_item_bytes)
     sent = docs.sparkSession.sparkContext.broadcast((windows, ids))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

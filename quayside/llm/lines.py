@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm.spans import SPACE, U64, Chunk, chunks, distinct, mix64
-from quayside.llm.store import keep
+from quayside.llm.store import bound_batches, keep
 
 SEGMENT = 1 << 16
 PROBES = 4
@@ -133,6 +133,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int =
     are joined to the documents that have them.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     bits = spark.sparkContext.broadcast(suspects_filter(plain.select("text"), filter_bits, min_chars))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quayside.llm.graph import components
 from quayside.llm.spans import SPACE, U64, chunks, distinct, mix64, owners, shingles
-from quayside.llm.store import keep
+from quayside.llm.store import bound_batches, keep
 
 _BLOCK = 512
 
@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_id
     other, sifted inside the join by their odd sketches, so only likely pairs come out. Full sets confirm each pair.
     """
     s = s or Sketching()
+    bound_batches(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_rows = keep(sketched(plain, s), "sketched")
     named = all_rows.where("n > 0 AND doc_id IS NOT NULL")

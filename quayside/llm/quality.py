@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from quayside.llm.frames import with_columns_in_arrow
 from quayside.llm.spans import U64, chunks, distinct, mix64
+from quayside.llm.store import bound_batches
 
 BUCKETS = 1 << 18
 
@@ -125,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, sizes: tupl
     the least counts. Class costs are balanced. Every fifth row is held back to turn margins into probabilities.
     With one class or no rows, every score is that class's share (one half without rows).
     """
+    bound_batches(docs.sparkSession)
     own = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
     chosen = own.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
@@ -170,6 +172,7 @@ def score(docs: DataFrame, model: NaiveBayesSvm, *, threshold: float = 0.3) -> D
 
     A null text scores as the empty text. The model (two vectors of fixed size) goes to all tasks; no shuffle.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     where = [f.name for f in docs.schema.fields].index("text")
 
