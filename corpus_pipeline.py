@@ -53,7 +53,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing sources", mixing)]
 
-#: The classifier can't be expressed in SQL. A brute-force version to test the run against is still to be written.
+#: The classifier can't be expressed in SQL; tests/llm/test_pipeline.py holds the run against a brute-force version.
 ORACLE_SQL = None
 
 
