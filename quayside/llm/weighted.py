@@ -11,83 +11,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quayside.llm.spans import SPACE, U64, chunks, distinct, mix64, owners, shingles
+from quayside.llm.spans import SPACE, U64, chunks, mix64, owners, shingles
 
-FEATURES = 1 << 16
 SAMPLES = 64
 _ROWS = 1024
+_UNIT = 2.0**-64
 
 
 @lru_cache(maxsize=2)
-def _draws(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each feature and sample: r ~ Gamma(2, 1), ln c for c ~ Gamma(2, 1), b ~ U(0, 1); and ln a at weight 1.
+def _keys(samples: int, seed: int) -> np.ndarray:
+    """For each of three draws and each sample, what the terms' hashes are mixed with (a column of keys)."""
+    counters = np.arange(3 * samples, dtype=U64) + mix64(np.array([seed], dtype=U64))
+    return mix64(counters).reshape(3, samples, 1)
+
+
+def _hashed(terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """A 64-bit draw for each sample (row) and term (column); mix64 in place."""
+    x = terms ^ keys
+    shifted = np.empty_like(x)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, None)):
+        np.right_shift(x, U64(shift), out=shifted)
+        x ^= shifted
+        if odd:
+            x *= U64(odd)
+    return x
 
-    They depend on the feature, the sample and the seed alone, so every task draws the same.
-    """
-    rng = np.random.Generator(np.random.Philox(seed))
-    shape = (FEATURES, samples)
-    r = rng.standard_gamma(2.0, shape).astype(np.float32)
-    ln_c = np.log(rng.standard_gamma(2.0, shape)).astype(np.float32)
-    b = rng.random(shape, dtype=np.float32)
-    return r, ln_c, b, ln_c - r * (1 - b)
+
+def _exponential(hashes: np.ndarray) -> np.ndarray:
+    """Exp(1) draws, ascending with the hashes."""
+    return -np.log1p(-np.minimum((hashes.astype(np.float64) + 0.5) * _UNIT, 1 - 2.0**-53))
 
 
 def terms_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, features, weights, offsets) of the texts in pieces: how often each word and pair of words occurs.
+    """(first text, terms, weights, offsets) of the texts in pieces: how often each word and pair of words occurs.
 
-    Words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Terms are hashed into FEATURES features.
+    Words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased. Terms are told by 64-bit hashes.
     """
     for chunk in chunks(column):
         words, at = chunk.words(~SPACE)
         pairs, pairs_at = shingles(words, at, 2)
         both = np.concatenate([words, pairs])
         order = np.argsort(np.concatenate([owners(at), owners(pairs_at)]), kind="stable")
-        both, both_at = (mix64(both[order]) >> U64(48)).astype(np.int64) % FEATURES, at + pairs_at
-        keyed = both + owners(both_at) * FEATURES
-        keyed.sort()
-        new = np.ones(len(keyed), dtype=bool)
-        new[1:] = keyed[1:] != keyed[:-1]
+        both, both_at = both[order], at + pairs_at
+        for a, b in zip(both_at[:-1].tolist(), both_at[1:].tolist(), strict=True):
+            both[a:b].sort()
+        new = np.ones(len(both), dtype=bool)
+        new[1:] = both[1:] != both[:-1]
+        new[both_at[:-1][both_at[:-1] < len(both)]] = True
         begin = np.flatnonzero(new)
-        weights = np.diff(np.concatenate([begin, [len(keyed)]]))
-        keyed = keyed[begin]
-        yield chunk.first, keyed % FEATURES, weights, np.searchsorted(keyed, np.arange(len(chunk) + 1) * FEATURES)
+        weights = np.diff(np.concatenate([begin, [len(both)]]))
+        yield chunk.first, both[begin], weights, np.searchsorted(begin, both_at)
 
 
-def sample(features: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, seed: int = 7) -> np.ndarray:
-    """The consistent weighted samples of one text: for each, a 16-bit code of the chosen (feature, level).
+def sample(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, seed: int = 7) -> np.ndarray:
+    """The consistent weighted samples of one text: for each, a 16-bit code of the chosen (term, level).
 
-    A sample takes the term with the least a = c exp(-r (t - b + 1)), t = floor(ln w / r + b) being its level; two
+    A sample takes the term with the least a = c exp(-r (t - b + 1)), t = floor(ln w / r + b) being its level, where
+    r ~ Gamma(2, 1), c ~ Gamma(2, 1) and b ~ U(0, 1) depend on the term's 64-bit hash, the sample and the seed alone; two
     texts take the same with the probability of their generalised Jaccard similarity, sum of minima over sum of maxima.
+
+    The three come from three Exp(1) draws: r b and r (1 - b) are independent Exp(1), and so are c u and c (1 - u) for
+    u = exp(-r (1 - b)), which is uniform. At weight 1 (level 0), a is c u itself: its least hash is the least a.
     """
-    r, ln_c, b, ln_a1 = _draws(samples, seed)
-    best, which, level = np.full(samples, np.inf, dtype=np.float32), np.full(samples, -1, dtype=np.int64), np.zeros(samples, dtype=np.int64)
+    keys = _keys(samples, seed)
+    best, which, level = np.full(samples, np.inf), np.zeros(samples, dtype=U64), np.zeros(samples, dtype=np.int64)
+    columns = np.arange(samples)
     one = weights == 1
-    for plain, group in ((True, features[one]), (False, features[~one])):
-        ln_w = np.log(weights[~one]).astype(np.float32)
-        for k in range(0, len(group), _ROWS):
-            f = group[k : k + _ROWS]
-            if plain:
-                ln_a, t = ln_a1[f], None
-            else:
-                t = np.floor(ln_w[k : k + _ROWS, None] / r[f] + b[f])
-                ln_a = ln_c[f] - r[f] * (t - b[f] + 1)
-            at = ln_a.argmin(axis=0)
-            columns = np.arange(samples)
-            value = ln_a[at, columns]
-            better = value < best
-            best[better], which[better] = value[better], f[at[better]]
-            level[better] = 0 if t is None else t[at[better], columns[better]].astype(np.int64)
-    code = mix64(which.astype(U64) * U64(0x9E3779B97F4A7C15) + level.astype(U64)) >> U64(48)
-    return np.where(which < 0, U64(0), code).astype(np.uint16)
+    plain, more, ln_w = terms[one], terms[~one], np.log(weights[~one])
+    for k in range(0, len(plain), _ROWS):
+        f = plain[k : k + _ROWS]
+        drawn = _hashed(f, keys[0])
+        at = drawn.argmin(axis=1)
+        value = np.log(_exponential(drawn[columns, at]))
+        better = value < best
+        best[better], which[better] = value[better], f[at[better]]
+    for k in range(0, len(more), _ROWS):
+        f = more[k : k + _ROWS]
+        cu, rest, rb = (_exponential(_hashed(f, key)) for key in keys)
+        c = cu + rest
+        ln_c = np.log(c)
+        r = rb + (ln_c - np.log(cu))
+        b = rb / r
+        t = np.floor(ln_w[k : k + _ROWS] / r + b)
+        ln_a = ln_c - r * (t - b + 1)
+        at = ln_a.argmin(axis=1)
+        value = ln_a[columns, at]
+        better = value < best
+        best[better], which[better] = value[better], f[at[better]]
+        level[better] = t[columns, at][better].astype(np.int64)
+    code = mix64(which * U64(0x9E3779B97F4A7C15) + level.astype(U64)) >> U64(48)
+    return np.where(np.isinf(best), U64(0), code).astype(np.uint16)
 
 
 def fingerprints(column: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """A row of samples for each text; texts without words have zeros."""
     out = np.zeros((len(column), samples), dtype=np.uint16)
-    for first, features, weights, at in terms_of(column):
+    for first, terms, weights, at in terms_of(column):
         for d in range(len(at) - 1):
             if at[d + 1] > at[d]:
-                out[first + d] = sample(features[at[d] : at[d + 1]], weights[at[d] : at[d + 1]], samples)
+                out[first + d] = sample(terms[at[d] : at[d + 1]], weights[at[d] : at[d + 1]], samples)
     return out
 
 

@@ -152,6 +152,14 @@ def test_fingerprints_estimate_generalised_jaccard(docs, none):
     assert len(got) == len(ROWS) and got[0].fingerprint == got[1].fingerprint and weighted.fingerprint(none).count() == 0
 
 
+def test_fingerprints_of_long_unrelated_texts_differ():
+    own = lambda c: [f"{c}{k}" for k in range(40_000)]
+    prints = weighted.fingerprints(pa.array([" ".join(x) for x in (own("a"), own("b"), own("a")[:30_000] + own("c")[:10_000], 2 * own("a"))]))
+    alike = (prints[0] == prints).mean(axis=1)
+    assert alike[0] == 1 and alike[1] < 0.05
+    assert abs(alike[2] - 0.6) < 0.2 and abs(alike[3] - 0.5) < 0.2
+
+
 def test_token_counts_equal_the_tokenizer(spark, docs, none):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
