@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 20 code points or more that ten documents or more have stay in the first of them only."""
-    return _measured(drop_repeated_lines(docs, min_docs=10, min_chars=20, keep_first=True), docs)
+    """Lines of 20 code points or more that ten documents or more have stay in the first of them only; lines of over 50
+    words do from the second document on."""
+    return _measured(drop_repeated_lines(docs, min_docs=10, min_chars=20, keep_first=True, long_words=50, long_min_docs=2), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

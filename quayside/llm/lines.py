@@ -71,6 +71,12 @@ def line_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(blank, starts, first), np.where(blank, starts, last), at
 
 
+def word_counts(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many words (runs of signs other than white space) each span has, cut at its ends."""
+    begins = chunk.runs(~SPACE)[0]
+    return np.searchsorted(begins, ends) - np.searchsorted(begins, starts)
+
+
 def line_keys(chunk: Chunk, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, whether it has at least ``min_chars`` code points, start and end of each line's key; the texts' offsets."""
     starts, ends, at = line_spans(chunk)
@@ -118,9 +124,11 @@ def suspects_filter(texts: DataFrame, bits: int, min_chars: int) -> np.ndarray:
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, filter_bits: int = 1 << 27, broadcast_keys: int = 1_000_000) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 1, keep_first: bool = True, filter_bits: int = 1 << 27, broadcast_keys: int = 1_000_000, long_words: int | None = None, long_min_docs: int = 2) -> DataFrame:
     """``docs`` (doc_id, text, any more) without the lines that at least ``min_docs`` documents have.
 
+    Lines of more than ``long_words`` words count as repeated from ``long_min_docs`` documents on.
+
     Lines are the parts between ``\\n``; their key is the line stripped of white space and lower-cased (A-Z).
     Keys of fewer than ``min_chars`` code points are never dropped. ``keep_first``: the documents of the lowest
     doc_id among a key's holders keep its first line; else none does. Adds n_lines (before) and n_dropped;
@@ -148,12 +156,14 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int =
                 owner = np.searchsorted(at, places, side="right") - 1
                 keys = chunk.data.tobytes()
                 seconds = [second_hash(keys[s:e].lower()) for s, e in zip(starts[places].tolist(), ends[places].tolist(), strict=True)]
-                rows = np.unique(np.stack([owner, h[places].view(np.int64), np.array(seconds, dtype=np.int64)]), axis=1) if len(places) else np.zeros((3, 0), dtype=np.int64)
+                many = word_counts(chunk, starts[places], ends[places]) > long_words if long_words is not None else np.zeros(len(places), dtype=bool)
+                rows = np.unique(np.stack([owner, h[places].view(np.int64), np.array(seconds, dtype=np.int64), many.astype(np.int64)]), axis=1) if len(places) else np.zeros((4, 0), dtype=np.int64)
                 take = pa.array(rows[0] + chunk.first)
-                yield pa.RecordBatch.from_arrays([ids.take(take), *(x.take(take) for x in rest), pa.array(rows[1]), pa.array(rows[2])], names=["doc_id", *("u1", "u2")[: len(rest)], "h", "h2"])
+                yield pa.RecordBatch.from_arrays([ids.take(take), *(x.take(take) for x in rest), pa.array(rows[1]), pa.array(rows[2]), pa.array(rows[3] > 0)], names=["doc_id", *("u1", "u2")[: len(rest)], "h", "h2", "many"])
 
-    counted = plain.mapInArrow(suspect, "doc_id long, h long, h2 long").groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    repeated = keep(counted.where(F.col("n") >= min_docs).drop("n"), "repeated-lines")
+    counted = plain.mapInArrow(suspect, "doc_id long, h long, h2 long, many boolean").groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("many").alias("many"))
+    least = F.when(F.col("many"), min(min_docs, long_min_docs)).otherwise(min_docs)
+    repeated = keep(counted.where(F.col("n") >= least).drop("n", "many"), "repeated-lines")
 
     added = {"text": T.StringType(), "n_lines": T.LongType(), "n_dropped": T.LongType()}
     names = [f.name for f in docs.schema.fields if f.name not in added]
@@ -217,7 +227,7 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int =
         return docs.mapInArrow(by_table, schema)
 
     uid = [F.xxhash64("doc_id", "text").alias("u1"), F.xxhash64("text", "doc_id").alias("u2")]
-    held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *uid).mapInArrow(suspect, "doc_id long, u1 long, u2 long, h long, h2 long").drop("doc_id").distinct()
+    held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *uid).mapInArrow(suspect, "doc_id long, u1 long, u2 long, h long, h2 long, many boolean").drop("doc_id", "many").distinct()
     drops = held.join(repeated, ["h", "h2"]).groupBy("u1", "u2").agg(F.collect_list(F.struct("h", "h2", "first")).alias("known"))
     numbered = docs.toDF(*[f"c{i}" for i in range(len(source))])
     d, t = (F.col(f"c{source.index(x)}") for x in ("doc_id", "text"))

@@ -144,3 +144,28 @@ def test_run_equals_brute_force(spark, folder):
     assert 12 not in docs and "item" not in docs[10] and "tiny" not in docs[11]
     got = corpus_pipeline.run(spark, folder)
     assert sorted((r.doc_id, r.epoch, r.text, r.n_chars, r.n_tokens) for r in got.collect()) == sorted(mixing(docs, place))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_long_lines_count_from_the_second_document_on(spark, limit):
+    from quayside.llm.lines import drop_repeated_lines
+
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    held = [(line("long", 51), range(2, 4)), (line("nine", 60), range(5, 14)), (line("edge", 50), range(1, 10)), (line("ten", 50), range(0, 10)), (line("solo", 70), range(3, 4))]
+    texts = {d: "\n".join([f"only document {d} has this", *(f" {x.upper() if d % 2 else x}\t" for x, h in held if d in h)]) for d in range(14)}
+
+    def brute(docs):
+        key = lambda x: x.strip(" \t\n\x0b\x0c\r").lower()
+        holders = collections.defaultdict(set)
+        for d, t in docs.items():
+            for x in t.split("\n"):
+                holders[key(x)].add(d)
+        gone = lambda d, k: len(k) >= 20 and len(holders[k]) >= (2 if len(k.split()) > 50 else 10) and d != min(holders[k])
+        return {d: "\n".join(x for x in t.split("\n") if not gone(d, key(x))) for d, t in docs.items()}
+
+    want = brute(texts)
+    assert [sum(x in t.lower() for t in want.values()) for x, _ in held] == [1, 1, 9, 1, 1]
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
+    got = drop_repeated_lines(docs, min_docs=10, min_chars=20, long_words=50, filter_bits=1 << 19, broadcast_keys=limit)
+    assert {r.doc_id: r.text for r in got.collect()} == want
