@@ -56,8 +56,10 @@ def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members and bytes of each source's documents."""
-    return _table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
+    """Members and bytes of each source's packed archives, by their decoded entries."""
+    source = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("archive_id"), "source").distinct()
+    each = structure.entries(decode(_packed(spark, sf_dir))).join(source, "archive_id")
+    return each.groupBy("source").agg(F.count(F.lit(1)).alias("members"), F.sum("plain").alias("bytes"))
 
 
 def _compressed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,3 +77,13 @@ def test_admission_findings(spark):
     assert got == {1: "path.conflict", 2: "path.case_fold", 4: "zip.diff.b1_dup", 6: "path.dotdot"}
     over = {r.cd_index: r.code for r in admission.findings(members.where("cd_index IN (0, 3, 7)"), admission.Caps(max_total_bytes=15)).collect()}
     assert over == {3: "quota.total"}
+
+
+def test_archive_summary_sums_decoded_entries(spark, tmp_path, monkeypatch):
+    from quayside import queries
+
+    docs = [(1, "abc", "en", "s1"), (2, "é" * 5, "de", "s1"), (3, "", "en", "s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    packed = queries._packed
+    monkeypatch.setattr(queries, "_packed", lambda *a: packed(*a).where("archive_id != '1'"))
+    assert {tuple(r) for r in queries.archive_summary(spark, str(tmp_path)).collect()} == {("s1", 1, 10), ("s2", 1, 0)}
