@@ -44,17 +44,19 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, levels: tuple[str, ...],
 
     ``weights``: (level, node, weight); a node's weight is 1 where none is given. A node gets its parent's budget by
     weight; what it can't use (``max_epochs`` times its tokens) goes to its siblings by weight, and what they can't use
-    either to its parent's siblings, and so on.
+    either to its parent's siblings, and so on. Nodes of weight 0 are left out with their leaves before any is shared.
     """
+    own_weight = lambda name: weights.where(F.col("level") == name).groupBy("node").agg(F.max("weight").cast("double").alias("weight"))
+    for name in levels:
+        leaves = leaves.join(own_weight(name).where("weight <= 0").select(F.col("node").alias(name)), name, "left_anti")
     root = leaves.agg(F.sum(F.col("tokens") * max_epochs).alias("all"))
     now = root.select(F.lit(0).alias("root"), F.least(F.col("all").cast("double"), F.lit(target).cast("double")).alias("budget"))
     path = ["root"]
     rooted = leaves.withColumn("root", F.lit(0))
     for name in levels:
-        own = weights.where(F.col("level") == name).groupBy("node").agg(F.max("weight").cast("double").alias("weight"))
         nodes = rooted.groupBy(*path, name).agg(F.sum(F.col("tokens") * max_epochs).alias("capacity"))
-        level = nodes.join(now, path).withColumn("node", F.col(name)).join(own, "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        now = _share(level.where("capacity > 0 AND weight > 0"), path).select(*path, name, F.col("grant").alias("budget"))
+        level = nodes.join(now, path).withColumn("node", F.col(name)).join(own_weight(name), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+        now = _share(level.where("capacity > 0"), path).select(*path, name, F.col("grant").alias("budget"))
         path.append(name)
     return leaves.join(now.drop("root"), list(levels)).withColumnRenamed("budget", "grant")
 

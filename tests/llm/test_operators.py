@@ -137,6 +137,13 @@ def test_mixing_budgets_and_epochs(spark, docs, none):
     assert mixing.weighted_mix(docs).count() > 0 and mixing.weighted_mix(none).count() == 0
 
 
+def test_mixing_gives_the_part_of_weight_0_to_others(spark):
+    leaves = spark.createDataFrame([("en", "a", 900), ("en", "b", 100), ("fr", "c", 1000)], "lang string, source string, tokens long")
+    weights = spark.createDataFrame([("source", "a", 0.0)], "level string, node string, weight double")
+    got = mixing.leaf_budgets(leaves, weights, ("lang", "source"), 1000.0, 1)
+    assert {r.source: r.grant for r in got.collect()} == pytest.approx({"b": 100, "c": 900})
+
+
 def test_fingerprints_estimate_generalised_jaccard(docs, none):
     texts = pa.array([" ".join(BASE), " ".join([*BASE[:30], *BASE[:10]]), None, "", LONG])
     prints = weighted.fingerprints(texts, 256)
