@@ -128,3 +128,22 @@ def test_watch_inspects_each_file_once(spark, tmp_path):
     ask()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r.archive_id.rsplit("/", 1)[1], r.result) for r in got) == [("B.ZIP", "format.unsupported"), ("a.zip", "ALLOWED")]
+
+
+def test_registered_queries_against_brute_force(spark, tmp_path):
+    from quayside import queries
+
+    docs = [(1, "x" * 33_000, "en", "s1"), (2, "x" * 33_000, "de", "s1"), (3, "some words", "en", "s1"), (4, "other words", "de", "s2"), (5, "more words " * 20, "fr", "s2"), (6, "y" * 40_000, "fr", "s2")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for d, text, lang, _ in docs:
+        code = "quota.ratio" if len(text) > 100 * len(raw(text.encode())) else "path.absolute" if lang == "de" else None  # the ratio is looked at before the path
+        want[str(d)] = (code and "admission", code, code or "ALLOWED", "denied" if code else "admitted", 2 if code else 0)
+    assert [want[k][1] for k in "126"] == ["quota.ratio"] * 3
+    got = queries.archive_outcomes(spark, str(tmp_path)).collect()
+    assert {r.archive_id: (r.phase, r.code, r.result, r.admission, r.exit_code) for r in got} == want and len(got) == len(docs)
+    count = lambda s, x: sum(want[str(d[0])][2] == x for d in docs if d[3] == s)
+    cells = {(s, x): count(s, x) for s in ("s1", "s2") for x in ("ALLOWED", "path.absolute", "quota.ratio") if count(s, x)}
+    assert {(r["class"], r.result): r.n for r in queries.corpus_counts(spark, str(tmp_path)).collect()} == cells
+    gate = {(r["class"], r.result): (r.n, r.expected_n) for r in queries.corpus_gate(spark, str(tmp_path)).collect()}
+    assert gate == {(s, x): (n, 3 if x == "ALLOWED" else None) for (s, x), n in cells.items()}
