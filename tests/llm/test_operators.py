@@ -114,7 +114,7 @@ def test_context_tree_is_a_distribution(spark, none):
     assert got[0].score == pytest.approx(got[5].score) and got[2].n_tokens == 1 and got[2].score < 0 and got[1].n_known == 1
     counts = collections.Counter(w for k, t in rows if k != 1 for w in [*(t or "").lower().split(), None])
     assert got[0].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in ("abracadabra", None)))
-    every = spark.createDataFrame([((97 << 16) | (98 << 8) | s, 5 if s == 114 else 0) for s in range(256)], "key long, n long")
+    every = spark.createDataFrame([((98 << 16) | (97 << 8) | s, 5 if s == 114 else 0) for s in range(256)], "key long, n long")
     total = contexttree.gram_scores(every, 2).agg(F.sum(F.pow(F.lit(10.0), "value"))).first()[0]
     assert total == pytest.approx(1.0)
     assert contexttree.score(none, F.lit(True)).count() == 0
@@ -198,3 +198,76 @@ def test_op9_sql_equals_brute_force():
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
     assert lines.key_of(b" \t A b\x0b") == key(" \t A b\x0b").lower().encode()
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def brute_context_tree(texts, learned, depth):
+    """log10 probabilities by the definition: every node of every binary choice's tree in a dict, no packing, no parts."""
+    edge = 0xFF
+    counts = collections.defaultdict(lambda: [0, 0])
+    lower = lambda t: [c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()]
+
+    def steps(t):
+        b = [edge] * depth + lower(t) + [edge]
+        for i in range(depth, len(b)):
+            yield tuple(reversed(b[i - depth : i])), b[i]
+
+    for t, own in zip(texts, learned, strict=True):
+        for ctx, sym in steps(t) if own else ():
+            for k in range(8):
+                for d in range(depth + 1):
+                    counts[ctx[:d], (sym + 256) >> (k + 1)][(sym >> k) & 1] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    children = collections.defaultdict(set)
+    for ctx, node in counts:
+        if ctx:
+            children[ctx[:-1], node].add((ctx, node))
+    weighted = {}
+    for key in sorted(counts, key=lambda x: -len(x[0])):
+        own = kt(*counts[key])
+        if len(key[0]) < depth:
+            split = sum(weighted[c][0] for c in children[key])
+            top = max(own, split)
+            pw = top + math.log(math.exp(own - top) + math.exp(split - top)) - math.log(2)
+            weighted[key] = pw, math.exp(own - math.log(2) - pw)
+        else:
+            weighted[key] = own, 1.0
+
+    def choice(ctx, node):
+        done = seen = 0.0
+        rest = 1.0
+        for d in range(depth + 1):
+            key = (ctx[:d], node)
+            if key not in weighted:
+                if d == 0:
+                    done, seen = 0.25, 0.5
+                break
+            n0, n1 = counts[key]
+            w = weighted[key][1]
+            done, seen, rest = done + rest * w * (n1 + 0.5) / (n0 + n1 + 1), seen + rest * w, rest * (1 - w)
+        return done / seen
+
+    def total(t):
+        out = 0.0
+        for ctx, sym in steps(t):
+            for k in range(8):
+                p = choice(ctx, (sym + 256) >> (k + 1))
+                out += math.log10(p if (sym >> k) & 1 else 1 - p)
+        return out
+
+    return [total(t) for t in texts]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 5])
+def test_context_tree_scores_equal_brute_force(spark, depth):
+    rng = np.random.default_rng(depth)
+    texts = [" ".join(rng.choice(["the", "Then", "other", "né", "oth"], int(n))) for n in rng.integers(0, 40, 30)] + [None, "unseen zebra", "the the"]
+    learned = [k % 3 != 0 for k in range(len(texts))]
+    frame = spark.createDataFrame(list(zip(range(len(texts)), texts, learned, strict=True)), "doc_id long, text string, keys boolean").repartition(3)
+    got = {r.doc_id: r for r in contexttree.score(frame, F.col("keys"), depth=depth, block_bytes=300).collect()}
+    want = brute_context_tree(texts, learned, depth)
+    assert [got[k].score for k in range(len(texts))] == pytest.approx(want, abs=1e-6, rel=1e-7)
+    counts = collections.Counter(w for t, own in zip(texts, learned, strict=True) if own for w in [*(t or "").lower().split(), None])
+    for k, t in enumerate(texts):
+        words = [*(t or "").lower().split(), None]
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(words), sum(counts[w] > 0 for w in words), sum(counts.values()))
+        assert got[k].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in words))
