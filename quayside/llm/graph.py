@@ -16,7 +16,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    out = out.where(F.col("u") != F.col("v"))
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -77,9 +77,16 @@ def _lists(values: np.ndarray, at: np.ndarray | int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(values).ravel().view(np.int64)))
 
 
+def _digests(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each text's set, as two columns."""
+    sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix64(values ^ U64(c)))]) for c in (0x1F83D9AB, 0x5BE0CD19)]
+    lo, hi = ((x[at[1:]] - x[at[:-1]]).view(np.int64) for x in sums)
+    return lo, hi
+
+
 def sketched(docs: DataFrame, s: Sketching) -> DataFrame:
-    """(doc_id, n, lo, hi, bands, sketch) of (doc_id, text): set size, 128-bit digest of the set, band keys,
-    and the odd sketch of its MinHash samples followed by that of the set itself."""
+    """(doc_id, text_hash, n, lo, hi, bands, sketch) of (doc_id, text, text_hash): set size, 128-bit digest of the set, band
+    keys, and the odd sketch of its MinHash samples followed by that of the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,26 +98,24 @@ def sketched(docs: DataFrame, s: Sketching) -> DataFrame:
                 key = np.broadcast_to(np.arange(1, s.bands + 1, dtype=U64) << U64(40), (len(n), s.bands)).copy()
                 for r in range(s.rows):
                     key = mix64(key * U64(0x9E3779B97F4A7C15) + parts[:, :, r])
-                sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix64(v ^ U64(c)))]) for c in (0x1F83D9AB, 0x5BE0CD19)]
-                lo, hi = (x[at[1:]] - x[at[:-1]] for x in sums)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, len(n)), pa.array(n, pa.int64()), pa.array(lo.view(np.int64)), pa.array(hi.view(np.int64)), _lists(key, s.bands), _lists(np.concatenate([odd_sketches(least, s.bits), _parities(v, at, s.set_bits)], axis=1), (s.bits + s.set_bits) // 64)],
-                    names=["doc_id", "n", "lo", "hi", "bands", "sketch"],
-                )
+                own = [batch.column(k).slice(chunk.first, len(n)) for k in (0, 2)]
+                both = np.concatenate([odd_sketches(least, s.bits), _parities(v, at, s.set_bits)], axis=1)
+                columns = [*own, pa.array(n, pa.int64()), *map(pa.array, _digests(v, at)), _lists(key, s.bands), _lists(both, (s.bits + s.set_bits) // 64)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n", "lo", "hi", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, lo long, hi long, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, items) of (doc_id, text): the ascending hashes of all its distinct shingles."""
+    """(doc_id, lo, items) of (doc_id, text): half of its set's digest, and the ascending hashes of all its distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 v, at = distinct(*shingles(*chunk.words(~SPACE), width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), _lists(v, at)], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), pa.array(_digests(v, at)[0]), _lists(v, at)], names=["doc_id", "lo", "items"])
 
-    return docs.mapInArrow(run, "id long, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, lo long, items array<long>")
 
 
 def _odd(x: str, y: str, first: int, end: int) -> Column:
@@ -133,68 +138,94 @@ def _likely(s: Sketching, x: str, y: str, nx: str, ny: str) -> Column:
     return (_odd(x, y, first, end) <= most) & (_odd(x, y, 0, first) <= s.most_odd)
 
 
-def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, any more).
+#: Members of a band that meet in one group of a comparison.
+_MEMBERS = 1024
+_PAIR = ("a", "b", "da", "la", "db", "lb")
 
-    Texts are sets of ``width``-word shingles (words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words are one
-    shingle). Sets with 100 |A n B| >= percent |A u B| are linked; component_id is the least doc_id reachable and
-    kept marks it. Texts without words are linked with nothing. Rows of one doc_id count as one document. A row
-    without doc_id can't be named by a link: component_id is null and it is kept. Any other column is ignored.
+
+def _classed(docs: DataFrame, s: Sketching, broadcast_ids: int) -> DataFrame:
+    """(doc_id, text_hash, n, class), one row for each of ``docs``; class is the least doc_id of the texts linked with the row's.
 
     Plan: equal sets become one class first, so copies cost one row. In each band, the members are compared with
-    the band's least class (a star); members of different components that are left in a band are compared with each
-    other, sifted inside the join by their odd sketches, so only likely pairs come out. Full sets confirm each pair.
+    the band's least class (a star). Where a band is then left with several components, the members outside its largest
+    component are compared with all others of it, in groups of some ``_MEMBERS`` (so no band is in one task), sifted
+    inside the join by their odd sketches: only likely pairs come out. Full sets confirm each pair.
     """
-    s = s or Sketching()
     bound_batches(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    all_rows = keep(sketched(plain, s), "sketched")
+    text = F.col("text").cast("string")
+    plain = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
+    all_rows = keep(sketched(plain.withColumn("text_hash", F.xxhash64("text")), s), "sketched")
     named = all_rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = keep(named.groupBy("lo", "hi").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    # a class is told by a number of its own: rows of one doc_id may have several texts
+    classes = named.groupBy("lo", "hi").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    sketch = classes.select("id", "sketch", "n", "least", "lo")
 
-    in_bands = classes.select(F.explode("bands").alias("band"), "id").repartition("band")
+    in_bands = classes.select(F.explode("bands").alias("band"), "id")
     tops = in_bands.groupBy("band").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1")
     banded = keep(in_bands.join(tops, "band"), "banded")
     stars = banded.where("id != top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct()
-    sketch = classes.select("id", "sketch", "n")
-    stars = stars.join(sketch.toDF("a", "x", "nx"), "a").join(sketch.toDF("b", "y", "ny"), "b").where(_likely(s, "x", "y", "nx", "ny"))
-    links = keep(_confirmed(plain, keep(stars.select("a", "b"), "stars"), s, broadcast_ids), "links")
+    stars = stars.join(sketch.toDF("a", "x", "nx", "da", "la"), "a").join(sketch.toDF("b", "y", "ny", "db", "lb"), "b").where(_likely(s, "x", "y", "nx", "ny"))
+    links = keep(_confirmed(plain, keep(stars.select(*_PAIR), "stars"), s, broadcast_ids), "links")
 
     found = components(links)
-    rest = banded.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rest.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("band")
-    rest = keep(rest.join(mixed, "band").where("id != top").join(sketch, "id").select("band", "id", "component", "sketch", "n"), "rest")
-    x, y = rest.toDF("band", "a", "ca", "x", "nx"), rest.toDF("band", "b", "cb", "y", "ny")
-    pairs = x.join(y, (x["band"] == y["band"]) & (x["ca"] < y["cb"]) & _likely(s, "x", "y", "nx", "ny")).select("a", "b").distinct()
+    rest = banded.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    sizes = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("large"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    groups = F.ceil(F.col("members") / _MEMBERS)
+    rest = rest.join(mixed.select("band", "large", groups.alias("groups")), "band").join(sketch, "id")
+    rest = keep(rest.select("band", "id", "component", (F.col("component") == F.col("large")).alias("large"), "groups", "sketch", "n", "least", "lo"), "rest")
+    x = rest.where("NOT large").select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("x"), F.col("n").alias("nx"), F.col("least").alias("da"), F.col("lo").alias("la"))
+    y = rest.select("band", F.pmod(F.xxhash64("id"), F.col("groups")).alias("g"), F.col("id").alias("b"), F.col("component").alias("cb"), "large", F.col("sketch").alias("y"), F.col("n").alias("ny"), F.col("least").alias("db"), F.col("lo").alias("lb"))
+    pairs = x.join(y, (x["band"] == y["band"]) & (x["g"] == y["g"]) & (y["large"] | (x["ca"] < y["cb"])) & _likely(s, "x", "y", "nx", "ny")).select(*_PAIR).distinct()
     more = keep(_confirmed(plain, keep(pairs, "pairs"), s, broadcast_ids), "more-links")
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    least = found.withColumnRenamed("node", "id").join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("class"))
+    of_class = classes.select("lo", "hi", "id", "least").join(found.withColumnRenamed("node", "id"), "id", "left").join(least, "component", "left").select("lo", "hi", F.coalesce("class", "least").alias("class"))
+    return keep(all_rows.select("doc_id", "text_hash", "n", "lo", "hi").join(of_class, ["lo", "hi"], "left").select("doc_id", "text_hash", "n", "class"), "classed")
 
-    of_class = classes.select("lo", "hi", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("lo", "hi", F.coalesce("component", "id").alias("class"))
-    out = all_rows.select("doc_id", "n", "lo", "hi").join(of_class, ["lo", "hi"], "left")
+
+def near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text, any more).
+
+    Texts are sets of ``width``-word shingles (words: ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased; fewer words are one
+    shingle). Sets with 100 |A n B| >= percent |A u B| are linked, and so are all texts of one doc_id; component_id is
+    the least doc_id reachable and kept marks it. Texts without words are linked with nothing: component_id is the row's
+    own doc_id. A row without doc_id can't be named by a link: component_id is null and it is kept. Any other column is
+    ignored. Plan: see ``_classed``.
+    """
+    found = _classed(docs, s or Sketching(), broadcast_ids)
+    linked = found.where("n > 0 AND doc_id IS NOT NULL")
+    several = keep(linked.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a != z").select("doc_id", "a"), "several-texts")
+    if not several.isEmpty():
+        merged = components(linked.join(several, "doc_id").select("a", F.col("class").alias("b")))
+        found = found.join(merged.withColumnRenamed("node", "class"), "class", "left").withColumn("class", F.coalesce("component", "class"))
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _confirmed(plain: DataFrame, pairs: DataFrame, s: Sketching, broadcast_ids: int) -> DataFrame:
-    """Of the pairs (a, b) of ids, those whose full sets are similar enough."""
-    ids = keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    """(a, b) of the pairs of classes (a, b, and of each the least doc_id d and half the digest l) whose full sets are similar enough."""
+    ids = keep(pairs.select(F.col("da").alias("doc_id")).union(pairs.select("db")).distinct(), "ids")
     wanted = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    sets = keep(full_sets(plain.join(wanted, "doc_id", "left_semi"), s.width).dropDuplicates(["id"]), "sets")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    sets = keep(full_sets(plain.join(wanted, "doc_id", "left_semi"), s.width).dropDuplicates(["doc_id", "lo"]), "sets")
+    both = pairs.join(sets.toDF("da", "la", "x"), ["da", "la"]).join(sets.toDF("db", "lb", "y"), ["db", "lb"])
     common = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).where(100 * F.col("i") >= s.percent * F.col("u")).select("a", "b")
 
 
-def drop_near_duplicates(docs: DataFrame, s: Sketching | None = None) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates (its least doc_id); repeated rows of that id count as one.
+def drop_near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """``docs`` with the rows of one doc_id of each group of linked texts: the least; equal rows of that id all stay.
 
-    Rows without words or without doc_id stay.
+    Groups are of texts, so where a doc_id has several texts, each stays or goes with its own group and none is lost.
+    Rows without words or without doc_id stay. Columns stay as they are.
     """
-    found = near_duplicates(docs, s)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return stay
+    found = _classed(docs, s or Sketching(), broadcast_ids)
+    gone = found.where("n > 0 AND doc_id != class").select("doc_id", "text_hash").distinct()
+    same = (gone["doc_id"] == docs["doc_id"].cast("long")) & (gone["text_hash"] == F.xxhash64(docs["text"].cast("string")))
+    return docs.join(gone, same, "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
