@@ -67,30 +67,41 @@ class NaiveBayesSvm:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
+def _pieces(at: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with some ``limit`` features together."""
+    i = 0
+    while i < len(at) - 1:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + limit, side="right")) - 1)
+        yield i, j
+        i = j
+
+
 def _scaled(flat: np.ndarray, at: np.ndarray, ratios: np.ndarray) -> np.ndarray:
     """The features' ratios, each row brought to length one."""
-    x = ratios[flat].astype(np.float32)
-    square = np.concatenate([[0.0], np.cumsum(x.astype(np.float64) ** 2)])[at]
-    return x / np.repeat(np.sqrt(np.maximum(np.diff(square), 1e-12)), np.diff(at)).astype(np.float32)
+    out = np.empty(len(flat), dtype=np.float32)
+    for i, j in _pieces(at):
+        own, x = at[i : j + 1] - at[i], ratios[flat[at[i] : at[j]]]
+        square = np.concatenate([[0.0], np.cumsum(x**2)])[own]
+        out[at[i] : at[j]] = x / np.repeat(np.sqrt(np.maximum(np.diff(square), 1e-12)), np.diff(own))
+    return out
 
 
-def _hinge(flat: np.ndarray, at: np.ndarray, use: np.ndarray, y: np.ndarray, ratios: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised squared-hinge model by dual coordinate descent.
+def _hinge(flat: np.ndarray, at: np.ndarray, use: np.ndarray, y: np.ndarray, scaled: np.ndarray, cost: np.ndarray, rounds: int, seed: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of the L2-regularised hinge-loss model by dual coordinate descent.
 
-    min |w|^2/2 + sum cost_i max(0, 1 - y_i w.x_i)^2: each step solves one dual variable and moves w along its row.
-    Rows have length one, and a constant feature of value one for the bias, so every row's Q_ii is 2 + 1/(2 cost).
+    min |w|^2/2 + sum cost_i max(0, 1 - y_i w.x_i): each step solves one dual variable, 0 <= alpha_i <= cost_i, and moves
+    w along its row. Rows have length one, and a constant feature of value one for the bias, so every row's Q_ii is 2.
     """
-    w, bias = np.zeros(len(ratios)), 0.0
+    w, bias = np.zeros(BUCKETS), 0.0
     alpha = np.zeros(len(y))
-    scaled = _scaled(flat, at, ratios)
     begin, end = at[:-1].tolist(), at[1:].tolist()
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
         for i in rng.permutation(use).tolist():
             r, x = flat[begin[i] : end[i]], scaled[begin[i] : end[i]]
-            gradient = y[i] * (w[r] @ x + bias) - 1 + alpha[i] / (2 * cost[i])
-            new = max(0.0, alpha[i] - gradient / ((2.0 if len(r) else 1.0) + 1 / (2 * cost[i])))
+            gradient = y[i] * (w[r] @ x + bias) - 1
+            new = min(cost[i], max(0.0, alpha[i] - gradient / (2.0 if len(r) else 1.0)))
             step = (new - alpha[i]) * y[i]
             if step:
                 most = max(most, abs(step))
@@ -139,23 +150,33 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, sizes: tupl
             rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), rows], names=["doc_id", "label", "features"])
 
-    table = labelled.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    y = np.where(table["label"].to_numpy() > 0, 1.0, -1.0) if table.num_rows else np.zeros(0)
+    ids, y, rows = [], [], []
+    for batch in labelled.mapInArrow(run, "doc_id long, label int, features array<int>").toArrow().to_batches():
+        ids.append(batch.column(0).to_numpy())
+        y.append(np.where(batch.column(1).to_numpy() > 0, 1.0, -1.0))
+        lists = batch.column(2)
+        own = lists.offsets.to_numpy()
+        rows += [lists.values.to_numpy()[a:b] for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+    y = np.concatenate(y) if y else np.zeros(0)
     if len(set(y.tolist())) < 2:
         share = (1 + (y > 0).sum()) / (2 + len(y)) if len(y) else 0.5
         return NaiveBayesSvm(np.ones(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))), sizes)
-    lists = pa.chunked_array([c.cast(pa.large_list(pa.int32())) for c in table["features"].chunks]).combine_chunks()
-    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-    del table, lists
-    of_up = np.repeat(y > 0, np.diff(at))
-    counts = {k: np.bincount(flat[of_up == k], minlength=BUCKETS) + 1.0 for k in (True, False)}
-    del of_up
+    order = np.argsort(np.concatenate(ids), kind="stable")  # the same model however the rows came
+    y, rows = y[order], [rows[k] for k in order.tolist()]
+    flat, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    del rows, lists, batch
+    counts = {k: np.ones(BUCKETS) for k in (True, False)}
+    for i, j in _pieces(at):
+        of_up = np.repeat(y[i:j] > 0, np.diff(at[i : j + 1]))
+        for k in (True, False):
+            counts[k] += np.bincount(flat[at[i] : at[j]][of_up == k], minlength=BUCKETS)
     ratios = np.log(counts[True] / counts[True].sum()) - np.log(counts[False] / counts[False].sum())
+    scaled = _scaled(flat, at, ratios)
     each = np.where(y > 0, cost * len(y) / (2 * (y > 0).sum()), cost * len(y) / (2 * (y < 0).sum()))
     back = np.arange(len(y)) % 5 == 4
 
     def model(train: np.ndarray) -> tuple[np.ndarray, float]:
-        return _hinge(flat, at, np.flatnonzero(train), y, ratios, each, rounds, seed)
+        return _hinge(flat, at, np.flatnonzero(train), y, scaled, each, rounds, seed)
 
     slope, shift = 1.0, 0.0
     if len(set(y[back].tolist())) == 2 and len(set(y[~back].tolist())) == 2:

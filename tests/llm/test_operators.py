@@ -271,3 +271,54 @@ def test_context_tree_scores_equal_brute_force(spark, depth):
         words = [*(t or "").lower().split(), None]
         assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == (len(words), sum(counts[w] > 0 for w in words), sum(counts.values()))
         assert got[k].base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (sum(counts.values()) + len(counts) + 1)) for w in words))
+
+
+def brute_near_duplicates(rows, width, percent=80):
+    """component_id of each doc_id by comparing all pairs of texts; rows of one doc_id are linked."""
+    sets = []
+    for d, t in rows:
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        sets.append((d, {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()))
+    group = {d: d for d, _ in rows}
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[:i]:
+            if a and b and group[d] != group[e] and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((group[d], group[e]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group, [len(x) for _, x in sets]
+
+
+def near_rows():
+    rng = np.random.default_rng(5)
+    word = lambda n: list(rng.choice([f"v{k}" for k in range(400)], n))
+    rows, k = [], 0
+    for _ in range(30):
+        base = word(int(rng.integers(3, 90)))
+        for _ in range(int(rng.integers(1, 7))):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                w[int(rng.integers(0, len(w)))] = "x" + str(int(rng.integers(0, 9)))
+            rows.append((k, " ".join(w)))
+            k += 1
+    return [*rows, (900, None), (901, " \t "), (902, "one two"), (903, "ONE\ntwo"), (904, "one two three")]
+
+
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_op1_equals_brute_force(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(minhash, "_MEMBERS", 3)
+    rows = near_rows()
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    group, n = brute_near_duplicates(rows, 4)
+    got = minhash.near_duplicates(spark.read.parquet(f"{tmp_path}/documents.parquet"), minhash.Sketching(width=4), broadcast_ids=limit) if not limit else minhash.op1_near_dedup(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == sorted((d, m, group[d], group[d] == d) for (d, _), m in zip(rows, n, strict=True))
+
+
+def test_rows_of_one_doc_id_are_linked_and_no_text_is_lost(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, c), (9, c), (9, None), (4, b + " "), (5, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", F.lit("x")).withColumn("text_hash", F.lit("y"))
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(frame).where("n_shingles > 0").collect()} == {(1, 1), (5, 1), (7, 1), (9, 1), (4, 1)}
+    got = minhash.drop_near_duplicates(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, a), (4, b + " "), (5, c), (9, "")])
