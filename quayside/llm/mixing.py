@@ -46,19 +46,20 @@ def leaf_budgets(leaves: DataFrame, weights: DataFrame, levels: tuple[str, ...],
     weight; what it can't use (``max_epochs`` times its tokens) goes to its siblings by weight, and what they can't use
     either to its parent's siblings, and so on. Nodes of weight 0 are left out with their leaves before any is shared.
     """
-    own_weight = lambda name: weights.where(F.col("level") == name).groupBy("node").agg(F.max("weight").cast("double").alias("weight"))
+    given = weights.groupBy("level", "node").agg(F.max("weight").cast("double").alias("weight"))
     for name in levels:
-        leaves = leaves.join(own_weight(name).where("weight <= 0").select(F.col("node").alias(name)), name, "left_anti")
-    root = leaves.agg(F.sum(F.col("tokens") * max_epochs).alias("all"))
+        own = given.where(F.col("level") == name).select(F.col("node").alias(name), F.col("weight").alias(f"{name}_weight"))
+        leaves = leaves.join(own, name, "left").withColumn(f"{name}_weight", F.coalesce(f"{name}_weight", F.lit(1.0)))
+    weighted = leaves.where(F.least(*[f"{x}_weight" for x in levels], F.lit(1.0)) > 0).withColumn("capacity", F.col("tokens") * max_epochs).where("capacity > 0")
+    weighted = keep(weighted.withColumn("root", F.lit(0)), "weighted-leaves")
+    root = weighted.agg(F.sum("capacity").alias("all"))
     now = root.select(F.lit(0).alias("root"), F.least(F.col("all").cast("double"), F.lit(target).cast("double")).alias("budget"))
     path = ["root"]
-    rooted = leaves.withColumn("root", F.lit(0))
     for name in levels:
-        nodes = rooted.groupBy(*path, name).agg(F.sum(F.col("tokens") * max_epochs).alias("capacity"))
-        level = nodes.join(now, path).withColumn("node", F.col(name)).join(own_weight(name), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-        now = _share(level.where("capacity > 0"), path).select(*path, name, F.col("grant").alias("budget"))
+        nodes = weighted.groupBy(*path, name).agg(F.sum("capacity").alias("capacity"), F.max(f"{name}_weight").alias("weight"))
+        now = _share(nodes.join(now, path).withColumn("node", F.col(name)), path).select(*path, name, F.col("grant").alias("budget"))
         path.append(name)
-    return leaves.join(now.drop("root"), list(levels)).withColumnRenamed("budget", "grant")
+    return weighted.drop("root", "capacity", *[f"{x}_weight" for x in levels]).join(now.drop("root"), list(levels)).withColumnRenamed("budget", "grant")
 
 
 def mix(docs: DataFrame, weights: DataFrame, *, target_share: float = 0.5, max_epochs: int = 3, seed: int = 11, levels: tuple[str, ...] = LEVELS) -> DataFrame:
