@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quayside.llm.mixing import WEIGHTS
 
@@ -169,3 +171,18 @@ def test_long_lines_count_from_the_second_document_on(spark, limit):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == want
     got = drop_repeated_lines(docs, min_docs=10, min_chars=20, long_words=50, filter_bits=1 << 19, broadcast_keys=limit)
     assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_stages_with_odd_tables(spark, folder):
+    names = ["n_lines", "n_dropped", "n_words", "n_hit", "items", "spans", "over_coverage", "score", "predicted", "class", "text_hash"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    twice = docs.union(docs.where("doc_id < 3"))
+    for name in names:
+        twice = twice.withColumn(name, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    for stage, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, twice, folder)
+        assert out.columns == twice.columns, stage
+        kept = out.select("doc_id", *names).collect()
+        assert kept and all(r[x] == f"mine {r.doc_id}" for r in kept for x in names), stage
+        assert function(spark, twice.limit(0), folder).count() == 0, stage
+    assert corpus_pipeline.mixing(spark, docs.limit(0), folder).count() == 0
