@@ -101,6 +101,7 @@ class Windows:
             own = ((a.length[state], frozenset(a.whole[state])),) if a.whole[state] else ()
             short_items[state] = short_items[above] + own
         shortest = min([size, *(len(x) for x in items if x)])
+        a.items, a.whole = [], []  # what streaming needs of them is compiled
         return cls(vocabulary, shortest, size, a, long_items, short_items)
 
     def codes(self, words: np.ndarray) -> np.ndarray:
@@ -138,7 +139,7 @@ class Windows:
                 if matched >= size:
                     hit[i - matched] += 1
                     hit[i] -= 1
-                    seen |= self.long_items[state] or self.automaton.items[state]
+                    seen |= self.long_items[state]
                 for n, items in self.short_items[state]:
                     if n <= matched:
                         hit[i - n] += 1

@@ -209,17 +209,23 @@ def drop_repeated_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int =
     if repeated.count() <= broadcast_keys:
         bits.destroy()  # no later step of this way reads it; workers would keep a copy of each run's
         table = repeated.toArrow()
-        order = np.argsort(hs := table["h"].to_numpy())
-        sent = spark.sparkContext.broadcast((hs[order], table["h2"].to_numpy()[order], [table["first"].to_pylist()[i] for i in order.tolist()]))
+        order = np.argsort(table["h"].to_numpy())
+        nobody = table["first"].is_null().to_numpy()[order]
+        sent = spark.sparkContext.broadcast((table["h"].to_numpy()[order], table["h2"].to_numpy()[order], table["first"].fill_null(0).to_numpy()[order], nobody))
 
         def by_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sorted_h, h2, first = sent.value
-            keys = {(int(a), int(b)): c for a, b, c in zip(sorted_h, h2, first, strict=True)}
+            sorted_h, h2, first, nobody = sent.value
+
+            def known(p: int, key: tuple[int, int]) -> tuple[bool, int | None]:
+                for k in range(*np.searchsorted(sorted_h, [key[0], key[0] + 1]).tolist()) if key[0] < (1 << 63) - 1 else np.flatnonzero(sorted_h == key[0]).tolist():
+                    if h2[k] == key[1]:
+                        return True, None if nobody[k] else int(first[k])
+                return False, None
 
             def line_of(chunk, h, long_enough, starts, ends, at):
                 i = np.minimum(np.searchsorted(sorted_h, h), max(0, len(sorted_h) - 1))
                 places = np.flatnonzero(long_enough & (sorted_h[i] == h)) if len(sorted_h) else np.zeros(0, dtype=np.int64)
-                return match(chunk, starts, ends, h, places, lambda p, key: (key in keys, keys.get(key)))
+                return match(chunk, starts, ends, h, places, known)
 
             for batch in batches:
                 yield batch_of(batch, *drop(line_of, batch.column(source.index("doc_id")), batch.column(source.index("text"))), source)

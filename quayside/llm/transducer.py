@@ -52,8 +52,6 @@ class PieceTransducer:
                     self.piece.append(None)
                 node = self.trie[node][sign]
             self.piece[node] = p
-        self.alone: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.most = most
         self.signs: dict[int, int] = {}
         self.points: list[int] = []
@@ -61,6 +59,8 @@ class PieceTransducer:
         self._clear()
 
     def _clear(self) -> None:
+        self.alone: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.states: list[tuple] = [((0, "", 0),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.size = 0
@@ -188,15 +188,56 @@ class PieceTransducer:
             signs = self.sign_of[points]
         return signs.astype(np.int64)
 
+    def _maps(self, signs: np.ndarray, cuts: np.ndarray, length: np.ndarray, reset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Every lane's map, as rows (lane, entry state, exit state, tokens) in order of lane and entry.
+
+        A lane that starts at a reset is entered in state 0 only. Another's entries are 0, and whatever exits the lane before
+        it has on its own entries: rounds add those until the maps are closed. As states forget what is a few code points
+        back, that is one round or two; at most it is as many as the states that a repeating text goes through.
+        """
+        lane, entry = np.arange(len(cuts)), np.zeros(len(cuts), dtype=np.int64)
+        leave, count = self._run(signs, cuts, length, entry)
+        rows = [lane, entry, leave, count]
+        while True:
+            follow = lane + 1 < len(cuts)
+            follow[follow] = ~reset[lane[follow] + 1]
+            fresh = np.setdiff1d((lane[follow] + 1) << 32 | leave[follow], rows[0] << 32 | rows[1])
+            if not len(fresh):
+                order = np.argsort(rows[0] << 32 | rows[1])
+                return tuple(x[order] for x in rows)
+            lane, entry = fresh >> 32, fresh & 0xFFFFFFFF
+            leave, count = self._run(signs, cuts[lane], length[lane], entry)
+            rows = [np.concatenate(x) for x in zip(rows, (lane, entry, leave, count), strict=True)]
+
+    def _scanned(self, maps: tuple[np.ndarray, ...], reset: np.ndarray) -> np.ndarray:
+        """The tokens from the last reset to each lane's end: the lanes' maps composed by a segmented parallel prefix scan."""
+        lane, entry, leave, count = maps
+        first = np.searchsorted(lane, np.arange(len(reset) + 1))
+        slot = np.arange(len(lane)) - first[lane]
+        to = np.zeros((len(reset), int(slot.max()) + 1), dtype=np.int64)
+        tokens = np.zeros_like(to)
+        follow = lane + 1 < len(reset)
+        follow[follow] = ~reset[lane[follow] + 1]
+        keys = lane << 32 | entry
+        to[lane[follow], slot[follow]] = np.searchsorted(keys, (lane[follow] + 1) << 32 | leave[follow]) - first[lane[follow] + 1]
+        tokens[lane, slot] = count
+        done, step = reset.copy(), 1
+        while not done.all():
+            k = np.flatnonzero(~done)
+            middle = to[k - step]
+            tokens[k], to[k] = tokens[k - step] + np.take_along_axis(tokens[k], middle, axis=1), np.take_along_axis(to[k], middle, axis=1)
+            done[k] = done[k - step]
+            step *= 2
+        return tokens[:, 0]
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text (with the space that the tokenizer puts before it; an empty text has none).
 
         Texts are cut into lanes of some LANE code points, at spaces where there are any: before a space every state
-        does. A lane cut elsewhere first runs as if it began a text; in rounds, lanes whose true first state (the end
-        of the lane before) turns out another run again, until the composed maps agree: as states depend on a few
-        code points only, that is after one or two rounds.
+        does, so the lane starts anew (a reset). Each lane gives a map from entry states to exit states and tokens; a
+        prefix scan composes the maps between two resets.
         """
-        if self.size > self.most:
+        if max(self.size, len(self.pairs), len(self.alone)) > self.most:
             self._clear()
         points = np.frombuffer("".join(SPACE + t if t else "" for t in texts).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         if not len(points):
@@ -216,18 +257,10 @@ class PieceTransducer:
         near = np.where(k < len(places), places[np.minimum(k, len(places) - 1)], len(points) + LANE)
         cuts = np.unique(np.concatenate([first, np.where(near < grid + LANE, near, grid)]))
         length = np.diff(np.concatenate([cuts, [len(points)]]))
-        signs = self._number_signs(points)
-        bound = free[cuts]
-        assumed = np.zeros(len(cuts), dtype=np.int64)
-        state, count = self._run(signs, cuts, length, assumed)
-        while True:
-            true = np.where(bound, 0, np.concatenate([[0], state[:-1]]))
-            again = np.flatnonzero(true != assumed)
-            if not len(again):
-                break
-            assumed[again] = true[again]
-            state[again], count[again] = self._run(signs, cuts[again], length[again], true[again])
-        total = np.concatenate([[0], np.cumsum(count)])
+        reset = free[cuts]
+        tokens = self._scanned(self._maps(self._number_signs(points), cuts, length, reset), reset)
+        last = np.concatenate([reset[1:], [True]])
+        total = np.concatenate([[0], np.cumsum(np.where(last, tokens, 0))])
         return (total[np.searchsorted(cuts, ends)] - total[np.searchsorted(cuts, starts)]).tolist()
 
 

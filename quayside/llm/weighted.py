@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.llm.spans import SPACE, U64, chunks, mix64, owners, shingles
+from quayside.llm.store import bound_batches
 
 SAMPLES = 64
 _ROWS = 1024
@@ -131,14 +132,16 @@ def fingerprint(docs: DataFrame, *, samples: int = SAMPLES) -> DataFrame:
     return with_columns_in_arrow(docs, {"fingerprint": T.StringType()}, lambda batch: {"fingerprint": pa.array(_hex(fingerprints(batch.column(where), samples)))})
 
 
-def _in_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) dealt into ranges of doc_id (column part), in order (null first, then by text).
+def _in_ranges(docs: DataFrame, range_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` (doc_id, text) dealt into ranges of doc_id (column part) of some ``range_bytes``, in order (null first, then
+    by text), and the number of ranges.
 
     The least document of each range also goes to the range before it, as a guard (own = false): so that each
     document's successor is at hand, wherever the ranges are cut. Only the texts move, once.
     """
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = size // range_bytes + 1
     cuts = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 20 * parts)).first()[0] or []
     cuts = sorted(set(cuts))
     part = F.coalesce(F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0), F.lit(0))
@@ -147,22 +150,25 @@ def _in_ranges(docs: DataFrame) -> DataFrame:
     numbers = [r.part for r in full]
     before = {n: numbers[k - 1] for k, n in enumerate(numbers)}
     if not before:
-        return dealt.select("part", "doc_id", "text", F.lit(True).alias("own"))
+        return dealt.select("part", "doc_id", "text", F.lit(True).alias("own")), parts
     heads = spark.createDataFrame([(r.part, r.least[1], before[r.part]) for r in full], "part int, least long, before int")
     marked = dealt.join(F.broadcast(heads), "part")
     places = F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.array(F.struct("part", F.lit(True).alias("own")), F.struct(F.col("before").alias("part"), F.lit(False).alias("own"))))
     places = F.coalesce(places, F.array(F.struct("part", F.lit(True).alias("own"))))
-    return marked.select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "doc_id", "text", "p.own")
+    return marked.select(F.explode(places).alias("p"), "doc_id", "text").select("p.part", "doc_id", "text", "p.own"), parts
 
 
-def op7_fingerprints(spark, sf_dir: str) -> DataFrame:
+def op7_fingerprints(spark, sf_dir: str, range_bytes: int = 12 << 20) -> DataFrame:
     """Every document's fingerprint beside that of its edited text and of the next document.
 
     The next document is the next in order of doc_id (null first, then by text); the last one's is the first. In a
     range, documents come in order, its guard (the next range's least; the first of all for the last range) at the end.
+    A range of some ``range_bytes`` is a partition; rows of one doc_id are in one.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ranged = _in_ranges(docs).repartition("part").sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "text")
+    bound_batches(spark)
+    ranged, parts = _in_ranges(docs, range_bytes)
+    ranged = ranged.repartitionById(parts, "part").sortWithinPartitions("part", F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "text")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def finish(rows: list[tuple], following: list[tuple]) -> pa.RecordBatch:

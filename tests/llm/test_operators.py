@@ -194,10 +194,8 @@ def test_quality_learns_and_handles_odd_rows(spark, docs, none):
     assert {r.score for r in quality.score(frame, empty).collect()} == {0.5}
 
 
-def test_op9_sql_equals_brute_force():
-    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x)
-    assert lines.key_of(b" \t A b\x0b") == key(" \t A b\x0b").lower().encode()
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def test_key_of_a_line():
+    assert lines.key_of(b" \t A b\x0b") == b"a b"
 
 
 def brute_context_tree(texts, learned, depth):
@@ -322,3 +320,65 @@ def test_rows_of_one_doc_id_are_linked_and_no_text_is_lost(spark):
     got = minhash.drop_near_duplicates(frame)
     assert got.columns == frame.columns
     assert sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, a), (4, b + " "), (5, c), (9, "")])
+
+
+def test_token_counts_of_texts_without_spaces():
+    """Lanes that start inside a word: maps of several entry states, composed by the scan."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(9)
+    letters = list("aeiounrst日本語テキ1—\n")
+    texts = ["".join(rng.choice(letters[:n], int(size))) for n in (1, 2, 3, 9, len(letters)) for size in (63, 64, 65, 129, 1000, 5000)]
+    texts += ["a" * 3000, "the" * 999, "0123456789" * 300, "ab" * 700 + " " + "ba" * 700]
+    made = transducer.PieceTransducer(path)
+    want = [len(x) for x in model.encode(texts)]
+    assert made.count(texts) == want
+    assert [made.count([t])[0] for t in texts] == want
+
+
+def test_op9_equals_its_sql_and_brute_force(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    blank = " \t\n\x0b\x0c\r"
+    nine, ten, same = (f"line of {x} holders" for x in ("nine", "ten", "one document"))
+    rows = [(k, "\n".join([f"own {k}", *([f" {nine.upper()}\t"] if k < 9 else []), *([ten, ten] if k < 10 else []), *([same] * 12 if k == 3 else []), "", "é  "])) for k in range(12)]
+    rows += [(50, None), (51, ""), (52, "\n\n"), (3, ten)]
+    pd.DataFrame(rows, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    key = lambda x: re.sub("[A-Z]", lambda m: m.group().lower(), x.strip(blank))
+    split = [(t or "").split("\n") for _, t in rows]
+    holders = collections.Counter(k for x in split for k in {key(y) for y in x} if k)
+    want = []
+    for (d, _), x in zip(rows, split, strict=True):
+        stay = [y for y in x if holders[key(y)] < 10]
+        want.append((d, len(x), len(x) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()))
+    assert holders[nine] == 9 and holders[ten] == 11
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted(db.execute(lines.SQL).fetchall()) == sorted(want)
+    got = lines.op9_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_op7_equals_a_plain_version(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(k * 3, " ".join(rng.choice([f"w{j}" for j in range(60)], int(rng.integers(0, 80))))) for k in range(60)]
+    rows += [(None, "no id"), (4, None), (5, ""), (5, "twice"), (5, "twice"), (1000, "日本 é " * 20), (6, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    want = []
+    for (d, t), (_, other) in zip(order, order[1:] + order[:1], strict=True):
+        t, other = t or "", other or ""
+        n = len(t) // 4
+        edited = t[: len(t) - n] + other[:n]
+        a, b, c = weighted.fingerprints(pa.array([t, edited, other]))
+        hexed = lambda x: x.astype(">u2").tobytes().hex()
+        want.append((-1 if d is None else d, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), float((a == b).mean()), float((a == c).mean())))
+    for size in (200, 1 << 20):
+        got = [(-1 if r[0] is None else r[0], *r[1:]) for r in weighted.op7_fingerprints(spark, str(tmp_path), range_bytes=size).collect()]
+        assert sorted(got) == sorted(want)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert weighted.op7_fingerprints(spark, f"{tmp_path}/none").count() == 0
