@@ -91,6 +91,22 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first)
 
 
+def _gram_counts(grams: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_summed`` for keys of 56 bits and counts of 0 or 1: sorted by value, as that is far faster than by place."""
+    if not len(grams):
+        return grams, learned
+    both = np.sort(grams << 1 | learned)
+    keys = both >> 1
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(both & 1, first)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The values of ``asked``, all among the ascending ``keys``: each distinct one is looked up once, in order."""
+    distinct, place = np.unique(asked, return_inverse=True)
+    return values[np.searchsorted(keys, distinct)][place]
+
+
 class _Sums:
     """Counts of keys, given in pieces: pieces are summed as they reach ``_KEYS`` keys, or half of what is summed already."""
 
@@ -151,7 +167,7 @@ def _observed(docs: DataFrame, depth: int, parts: int) -> DataFrame:
                 for chunk in chunks(batch.column(2).slice(own[0], len(own))):
                     counts = learn[own[chunk.first : chunk.first + len(chunk)]].astype(np.int64)
                     grams, at = _grams(chunk, depth)
-                    sums.add(*_summed(grams, np.repeat(counts, np.diff(at))))
+                    sums.add(*_gram_counts(grams, np.repeat(counts, np.diff(at))))
                     words, at = _tokens(chunk)
                     sums.add(*_summed(words, np.repeat(counts, np.diff(at))))
         if now is not None:
@@ -366,9 +382,9 @@ def score(docs: DataFrame, learn: Column, *, depth: int = 4, block_bytes: int =
         out: list[list] = [[], [], [], [], []]
         for chunk in chunks(left["text"]):
             (grams, at), (tokens, token_at) = _grams(chunk, depth), _tokens(chunk)
-            count = values[np.searchsorted(keys, tokens)]
+            count = _looked_up(keys, values, tokens)
             base = np.add.reduceat(np.log10((count + 1) / (total + distinct + 1)), token_at[:-1])
-            ours = np.add.reduceat(values[np.searchsorted(keys, grams)], at[:-1])
+            ours = np.add.reduceat(_looked_up(keys, values, grams), at[:-1])
             for column, new in zip(out, (np.diff(chunk.offsets), np.diff(token_at), np.add.reduceat((count > 0).astype(np.int64), token_at[:-1]), base, ours), strict=True):
                 column.append(new)
         n_bytes, n_tokens, n_known, base_score, found = (np.concatenate(c) for c in out)
