@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.sources.archives import CENTRAL, DESCRIPTOR, END, LOCAL
+
 _U32, _U16 = 0xFFFFFFFF, 0xFFFF
 ZIP64_EXTRA, UNICODE_PATH_EXTRA = 0x0001, 0x7075
+_ZIP64_END, _ZIP64_LOCATOR = b"PK\x06\x06", b"PK\x06\x07"
 
 
-def _has(blob: Column, *signs: str) -> Column:
-    return F.coalesce(sum((F.contains(blob, F.lit(bytes.fromhex(s))).cast("int") for s in signs), F.lit(0)) > 0, F.lit(False))
+def _has(blob: Column, *signs: bytes) -> Column:
+    return F.coalesce(sum((F.contains(blob, F.lit(s)).cast("int") for s in signs), F.lit(0)) > 0, F.lit(False))
 
 
 def _comment_code(blob: Column) -> Column:
-    return F.when(_has(blob, "504b0606", "504b0607"), "zip.diff.c5_zip64").when(_has(blob, "504b0506"), "zip.diff.c2_eocd").when(_has(blob, "504b0304", "504b0102", "504b0708"), "zip.diff.c1_stream")
+    return F.when(_has(blob, _ZIP64_END, _ZIP64_LOCATOR), "zip.diff.c5_zip64").when(_has(blob, END), "zip.diff.c2_eocd").when(_has(blob, LOCAL, CENTRAL, DESCRIPTOR), "zip.diff.c1_stream")
 
 
 def archive_code(max_files: int, max_metadata: int) -> Column:
     """The first failing check of the archive's end record, or null."""
     return (
-        F.when((F.col("length") < 22) | F.col("end_offset").isNull(), "format.unsupported")
+        F.when(F.coalesce(F.col("magic"), F.lit("unknown")) != "zip", "format.unsupported")
+        .when((F.col("length") < 22) | F.col("end_offset").isNull(), "format.unsupported")
         .when(_comment_code(F.col("comment")).isNotNull(), _comment_code(F.col("comment")))
         .when((F.col("disk") != 0) | (F.col("cd_disk") != 0) | (F.col("this_count") != F.col("total_count")), "zip.diff.c3_count")
         .when(F.col("total_count") > max_files, "quota.files")
@@ -30,52 +34,93 @@ def archive_code(max_files: int, max_metadata: int) -> Column:
     )
 
 
-def decoded_name() -> Column:
+def _name_of(e) -> Column:
+    text = e("name").cast("string")
+    ascii_only = ~F.hex(e("name")).rlike("^(..)*[89A-F]")
+    return F.when(ascii_only | ((e("flags").bitwiseAND(0x800) != 0) & F.is_valid_utf8(text)), text)
+
+
+def decoded_name(entry: Column | None = None) -> Column:
     """The name as text if it is ASCII, or valid UTF-8 with its flag set; else null."""
-    text = F.col("name").cast("string")
-    ascii_only = ~F.hex("name").rlike("^(..)*[89A-F]")
-    return F.when(ascii_only | ((F.col("flags").bitwiseAND(0x800) != 0) & F.is_valid_utf8(text)), text)
+    return _name_of(F.col if entry is None else entry.getField)
 
 
-def _directory_code() -> Column:
+def _directory_code(e) -> Column:
     """Names that end in a slash must be stored, empty directories; others must not claim to be directories or special files."""
-    is_dir = F.endswith(F.col("name"), F.lit(b"/"))
-    kind = F.shiftright("attributes", 16).bitwiseAND(0xF000)
-    dos = F.col("attributes").bitwiseAND(0x10) != 0
-    wrong_dir = (F.col("method") != 0) | (F.col("packed") != 0) | (F.col("plain") != 0) | (F.col("crc") != 0) | ~kind.isin(0, 0x4000)
+    is_dir = F.endswith(e("name"), F.lit(b"/"))
+    kind = F.shiftright(e("attributes"), 16).bitwiseAND(0xF000)
+    dos = e("attributes").bitwiseAND(0x10) != 0
+    wrong_dir = (e("method") != 0) | (e("packed") != 0) | (e("plain") != 0) | (e("crc") != 0) | ~kind.isin(0, 0x4000)
     return F.when(is_dir & wrong_dir, "zip.diff.a4_dir").when(~is_dir & (dos | ~kind.isin(0, 0x8000)), "zip.diff.a4_dir")
 
 
-def member_code() -> Column:
-    """The first failing check of one entry, or null (overlaps of entries: see ``layout_codes``)."""
-    flags_differ = F.col("flags").bitwiseXOR(F.col("lfh_flags"))
-    described = F.col("flags").bitwiseAND(8) != 0
+def _extra_code(e, site: int, bad: str) -> Column:
+    """The first fault of one header's extra fields: those before a malformed one come first."""
+    denied = F.filter(e("extras"), lambda x: (x["site"] == site) & x["id"].isin(ZIP64_EXTRA, UNICODE_PATH_EXTRA))
+    first = F.get(denied, F.lit(0))["id"]
+    return F.when(first == ZIP64_EXTRA, "zip.diff.c5_zip64").when(first == UNICODE_PATH_EXTRA, "zip.diff.a3_name").when(e(bad), "zip.extra")
+
+
+def member_code(entry: Column | None = None, max_metadata: int = 4 << 20) -> Column:
+    """The first failing check of one entry (columns, or a struct), or null; how entries lie to each other: ``layout_code``."""
+    e = F.col if entry is None else entry.getField
+    flags_differ = e("flags").bitwiseXOR(e("lfh_flags"))
+    described = e("flags").bitwiseAND(8) != 0
     pairs = [("packed", "lfh_packed"), ("plain", "lfh_plain"), ("crc", "lfh_crc")]
-    plain_differ = (F.col("packed") != F.col("lfh_packed")) | (F.col("plain") != F.col("lfh_plain")) | (F.col("crc") != F.col("lfh_crc"))
-    held = F.lit(False)
+    plain_differ, held = F.lit(False), F.lit(False)
     for a, b in pairs:
-        held = held | ((F.col(b) != 0) & (F.col(a) != F.col(b)))
+        plain_differ = plain_differ | (e(a) != e(b))
+        held = held | ((e(b) != 0) & (e(a) != e(b)))
+    central, local, directory, comment = _extra_code(e, 2, "extra_bad"), _extra_code(e, 1, "lfh_extra_bad"), _directory_code(e), _comment_code(e("comment"))
     return (
-        F.when(~F.col("ok"), "zip.diff.c3_count")
-        .when((F.col("packed") == _U32) | (F.col("plain") == _U32) | (F.col("lfh_offset") == _U32), "zip.diff.c5_zip64")
-        .when(F.array_contains("extra_ids", ZIP64_EXTRA), "zip.diff.c5_zip64")
-        .when(F.array_contains("extra_ids", UNICODE_PATH_EXTRA), "zip.diff.a3_name")
-        .when(_comment_code(F.col("comment")).isNotNull(), _comment_code(F.col("comment")))
-        .when(~F.col("lfh_in"), "zip.diff.c4_offset")
-        .when(~F.col("lfh_ok"), "zip.diff.c1_stream")
-        .when(F.col("extra_bad"), "zip.extra")
-        .when(F.col("name") != F.col("lfh_name"), "zip.diff.a3_name")
-        .when(F.col("method") != F.col("lfh_method"), "zip.diff.a1_method")
+        F.when(~e("fixed"), "zip.diff.c3_count")
+        .when((e("packed") == _U32) | (e("plain") == _U32) | (e("lfh_offset") == _U32), "zip.diff.c5_zip64")
+        .when(~e("ok"), "zip.diff.c3_count")
+        .when(central.isNotNull(), central)
+        .when(comment.isNotNull(), comment)
+        .when(~e("lfh_in") & ~e("lfh_ok"), "zip.diff.c4_offset")
+        .when(~e("lfh_ok"), "zip.diff.c1_stream")
+        .when(~e("lfh_in"), "zip.diff.c4_offset")
+        .when(local.isNotNull(), local)
+        .when(e("name") != e("lfh_name"), "zip.diff.a3_name")
+        .when(e("method") != e("lfh_method"), "zip.diff.a1_method")
         .when(flags_differ.bitwiseAND(1) != 0, "zip.diff.a5_crypt")
         .when(flags_differ != 0, "zip.flags")
         .when(~described & plain_differ, "zip.diff.a2_size")
         .when(described & held, "zip.diff.a2_size")
-        .when(decoded_name().isNull(), "zip.encoding")
-        .when(_directory_code().isNotNull(), _directory_code())
-        .when(~F.col("descriptor_ok"), "zip.diff.a2_size")
+        .when(_name_of(e).isNull(), "zip.encoding")
+        .when(directory.isNotNull(), directory)
+        .when(described & (e("method") == 0) & ~e("payload_in"), "zip.diff.c4_offset")
+        .when(e("payload_signed"), "zip.diff.c1_stream")
+        .when(~e("descriptor_in"), "zip.diff.c4_offset")
+        .when(~e("descriptor_ok"), "zip.diff.a2_size")
+        .when(e("metadata") > max_metadata, "quota.metadata")
     )
 
 
+def layout_code() -> Column:
+    """How an archive's records lie, from its row: past the listing or over each other zip.overlap, with bytes between, before
+    or after them that none has zip.diff.c1_stream."""
+    placed = F.array_sort(F.transform("entries", lambda e: F.struct(e["lfh_offset"].alias("start"), e["cd_index"].alias("k"), e["record_end"].alias("stop"))))
+    n = F.size("entries")
+    beside = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.struct(F.get(placed, k - 1)["stop"].alias("end"), F.get(placed, k)["start"].alias("start"))))
+    apart = F.get(F.filter(beside, lambda x: x["end"] != x["start"]), F.lit(0))
+    return (
+        F.when(n == 0, F.when(F.col("cd_offset") != 0, "zip.diff.c1_stream"))
+        .when(F.exists("entries", lambda e: e["record_end"] > F.col("cd_offset")), "zip.overlap")
+        .when(F.get(placed, F.lit(0))["start"] != 0, "zip.diff.c1_stream")
+        .when(apart["end"] > apart["start"], "zip.overlap")
+        .when(apart["end"] < apart["start"], "zip.diff.c1_stream")
+        .when(F.get(placed, n - 1)["stop"] != F.col("cd_offset"), "zip.diff.c1_stream")
+    )
+
+
+def first_failure(max_files: int = 10_000, max_metadata: int = 4 << 20) -> Column:
+    """The first structural check that a decoded archive fails, or null: a projection of its row."""
+    members = F.get(F.filter(F.transform("entries", lambda e: member_code(e, max_metadata)), lambda c: c.isNotNull()), F.lit(0))
+    return F.coalesce(archive_code(max_files, max_metadata), members, F.when(F.size("entries") != F.col("total_count"), "zip.diff.c3_count"), layout_code())
+
+
 def entries(decoded: DataFrame) -> DataFrame:
     """One row for each entry, in listing order."""
     return decoded.select("archive_id", "cd_offset", "length", F.explode("entries").alias("e")).select("archive_id", "cd_offset", "length", "e.*")
@@ -102,11 +147,4 @@ def layout_codes(records: DataFrame) -> DataFrame:
 
 def first_failures(decoded: DataFrame, max_files: int = 10_000, max_metadata: int = 4 << 20) -> DataFrame:
     """(archive_id, code): the first structural check that each archive fails; archives without one aren't there."""
-    whole = decoded.select("archive_id", archive_code(max_files, max_metadata).alias("code"), F.lit(0).alias("phase"), F.lit(0).alias("at"))
-    each = entries(decoded)
-    member = each.select("archive_id", member_code().alias("code"), F.lit(1).alias("phase"), F.col("cd_index").alias("at"))
-    count = decoded.select("archive_id", F.when(F.size("entries") != F.col("total_count"), "zip.diff.c3_count").alias("code"), F.lit(2).alias("phase"), F.lit(0).alias("at"))
-    placed = each.where("ok AND lfh_ok").select("archive_id", "cd_index", F.col("lfh_offset").alias("start"), F.col("record_end").alias("stop"), F.col("cd_offset").alias("limit"))
-    layout = layout_codes(placed).select("archive_id", "code", F.lit(3).alias("phase"), F.lit(0).alias("at"))
-    found = whole.union(member).union(count).union(layout).where("code IS NOT NULL")
-    return found.groupBy("archive_id").agg(F.min_by("code", F.struct("phase", "at")).alias("code"))
+    return decoded.select("archive_id", first_failure(max_files, max_metadata).alias("code")).where("code IS NOT NULL")

@@ -18,10 +18,11 @@ _LOCAL, _CENTRAL, _END = struct.Struct("<4s5H3I2H"), struct.Struct("<4s6H3I5H2I"
 
 ENTRY = (
     "cd_index int, cdh_offset long, cdh_end long, name binary, method int, flags int, crc long, packed long, plain long, lfh_offset long, "
-    "attributes long, made_by int, comment binary, lfh_ok boolean, lfh_in boolean, lfh_name binary, lfh_method int, lfh_flags int, lfh_crc long, "
-    "lfh_packed long, lfh_plain long, payload_offset long, extra_bad boolean, extra_ids array<int>, extras array<struct<site:int,id:int,at:long,size:int>>, record_end long, descriptor_ok boolean, ok boolean"
+    "attributes long, made_by int, comment binary, fixed boolean, ok boolean, extra_bad boolean, lfh_in boolean, lfh_ok boolean, lfh_name binary, lfh_method int, "
+    "lfh_flags int, lfh_crc long, lfh_packed long, lfh_plain long, lfh_extra_bad boolean, payload_offset long, payload_in boolean, payload_signed boolean, "
+    "extras array<struct<site:int,id:int,at:long,size:int>>, record_end long, descriptor_in boolean, descriptor_ok boolean, metadata long"
 )
-DECODED = f"archive_id string, length long, sha256 string, end_offset long, disk int, cd_disk int, this_count int, total_count int, cd_size long, cd_offset long, comment binary, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>"
+DECODED = f"archive_id string, length long, sha256 string, magic string, end_offset long, disk int, cd_disk int, this_count int, total_count int, cd_size long, cd_offset long, comment binary, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>"
 
 
 def scan(spark: SparkSession, path: str, max_bytes: int = 512 << 20) -> DataFrame:
@@ -51,16 +52,32 @@ def pack_bytes(members: list[tuple[str, bytes]], deflate: bool = False) -> bytes
 def pack(members: DataFrame, deflate: bool = False) -> DataFrame:
     """(archive_id, length, content) of ``members`` (archive_id, seq, name, data binary): one archive for each id.
 
-    An archive's members meet in one task, as the archive must be one value; ids with more than fits one value can't be
-    archives of this kind.
+    Members are sorted by archive, sequence number and name, and streamed: a task holds one archive at a time, as the
+    archive must be one value.
     """
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("seq", "ascending"), ("name", "ascending")])
-        content = pack_bytes(list(zip(table["name"].to_pylist(), table["data"].to_pylist(), strict=True)), deflate)
-        return pa.table({"archive_id": table["archive_id"].slice(0, 1), "length": pa.array([len(content)], pa.int64()), "content": pa.array([content], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size, now, held = [], 0, None, []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([len(c) for _, c in out], pa.int64()), pa.array([c for _, c in out], pa.binary())], names=["archive_id", "length", "content"])
 
-    return members.select("archive_id", "seq", "name", "data").groupBy("archive_id").applyInArrow(run, "archive_id string, length long, content binary")
+        for batch in batches:
+            for key, name, data in zip(*(batch.column(k).to_pylist() for k in ("archive_id", "name", "data")), strict=True):
+                if held and key != now:
+                    out.append((now, pack_bytes(held, deflate)))
+                    held, size = [], size + len(out[-1][1])
+                    if size > BATCH_BYTES:
+                        yield flush()
+                        out, size = [], 0
+                now = key
+                held.append((name, data))
+        if held:
+            out.append((now, pack_bytes(held, deflate)))
+        if out:
+            yield flush()
+
+    return members.select("archive_id", "seq", "name", "data").repartition("archive_id").sortWithinPartitions("archive_id", "seq", "name").mapInArrow(run, "archive_id string, length long, content binary")
 
 
 def _extras(blob: bytes, site: int, base: int) -> tuple[bool, list[dict]]:
@@ -77,33 +94,44 @@ def _extras(blob: bytes, site: int, base: int) -> tuple[bool, list[dict]]:
     return False, [*found.values()]
 
 
-def _entry(data: bytes, k: int, at: int, end: int) -> tuple[dict, int]:
-    """The record at ``at`` of the listing that ends at ``end``, with its local header; ok is false if it is cut off."""
-    if at + 46 > end or data[at : at + 4] != CENTRAL:
-        return {"cd_index": k, "cdh_offset": at, "ok": False}, end + 1
+def _signed(payload: bytes) -> bool:
+    return any(x in payload for x in (LOCAL, CENTRAL, DESCRIPTOR))
+
+
+def _entry(data: bytes, k: int, at: int, end: int, metadata: int) -> tuple[dict, int]:
+    """The record at ``at`` of the listing that ends at ``end``, with its local header; ok is false if it is cut off.
+
+    ``metadata``: bytes of metadata before it; the row has them with its own name and local extra fields.
+    """
+    row = {"cd_index": k, "cdh_offset": at, "ok": False, "fixed": at + 46 <= end and data[at : at + 4] == CENTRAL}
+    if not row["fixed"]:
+        return row, end + 1
     _, made, _, flags, method, _, _, crc, packed, plain, n, x, c, _, _, attributes, lfh = _CENTRAL.unpack_from(data, at)
+    row |= {"method": method, "flags": flags, "crc": crc, "packed": packed, "plain": plain, "lfh_offset": lfh, "attributes": attributes, "made_by": made}
     stop = at + 46 + n + x + c
     if stop > end:
-        return {"cd_index": k, "cdh_offset": at, "ok": False}, end + 1
-    bad, extras = _extras(data[at + 46 + n : at + 46 + n + x], 2, at + 46 + n)
-    row = {"cd_index": k, "cdh_offset": at, "cdh_end": stop, "name": data[at + 46 : at + 46 + n], "method": method, "flags": flags, "crc": crc, "packed": packed, "plain": plain, "lfh_offset": lfh, "attributes": attributes, "made_by": made, "comment": data[stop - c : stop], "ok": True}
+        return row, end + 1
+    row["extra_bad"], extras = _extras(data[at + 46 + n : at + 46 + n + x], 2, at + 46 + n)
+    row |= {"cdh_end": stop, "name": data[at + 46 : at + 46 + n], "comment": data[stop - c : stop], "ok": True, "lfh_extra_bad": False}
     row["lfh_in"] = lfh + 30 <= len(data)
     row["lfh_ok"] = row["lfh_in"] and data[lfh : lfh + 4] == LOCAL
     if row["lfh_ok"]:
         _, _, f, m, _, _, lcrc, lpacked, lplain, ln, lx = _LOCAL.unpack_from(data, lfh)
         start = lfh + 30 + ln + lx
         row["lfh_in"] = start <= len(data)
-        more_bad, more = _extras(data[lfh + 30 + ln : start], 1, lfh + 30 + ln)
-        bad, extras = bad or more_bad, extras + more
-        row |= {"lfh_name": data[lfh + 30 : lfh + 30 + ln], "lfh_method": m, "lfh_flags": f, "lfh_crc": lcrc, "lfh_packed": lpacked, "lfh_plain": lplain, "payload_offset": start}
-        row["record_end"], row["descriptor_ok"] = start + packed, True
+        row["lfh_extra_bad"], more = _extras(data[lfh + 30 + ln : start], 1, lfh + 30 + ln)
+        extras += more
+        row |= {"lfh_name": data[lfh + 30 : lfh + 30 + ln], "lfh_method": m, "lfh_flags": f, "lfh_crc": lcrc, "lfh_packed": lpacked, "lfh_plain": lplain, "payload_offset": start, "metadata": metadata + n + lx}
+        row |= {"record_end": start + packed, "payload_in": start + packed <= len(data), "payload_signed": False, "descriptor_in": True, "descriptor_ok": True}
         if flags & 8:
+            row["payload_signed"] = method == 0 and _signed(data[start : start + packed])
             tail = data[start + packed : start + packed + 16]
-            signed = tail[:4] == DESCRIPTOR
+            signed = len(tail) >= 12 and tail[:4] == DESCRIPTOR
             fields = tail[4:16] if signed else tail[:12]
             row["record_end"] += 16 if signed else 12
-            row["descriptor_ok"] = len(fields) == 12 and struct.unpack("<3I", fields) == (crc, packed, plain)
-    return row | {"extra_bad": bad, "extra_ids": [x["id"] for x in extras], "extras": extras}, stop
+            row["descriptor_in"] = len(fields) == 12
+            row["descriptor_ok"] = row["descriptor_in"] and struct.unpack("<3I", fields) == (crc, packed, plain)
+    return row | {"extras": extras}, stop
 
 
 def decode_bytes(data: bytes, max_files: int) -> dict:
@@ -115,15 +143,24 @@ def decode_bytes(data: bytes, max_files: int) -> dict:
         return {}
     _, disk, cd_disk, this, total, size, offset, _ = _END.unpack_from(data, at)
     out = {"end_offset": at, "disk": disk, "cd_disk": cd_disk, "this_count": this, "total_count": total, "cd_size": size, "cd_offset": offset, "comment": data[at + 22 :], "entries": []}
-    place, end = offset, offset + size
+    place, end, metadata = offset, offset + size, len(data) - at - 22 + size
     while total <= max_files and end == at and place < end and len(out["entries"]) <= max_files:
-        row, place = _entry(data, len(out["entries"]), place, end)
+        row, place = _entry(data, len(out["entries"]), place, end, metadata)
+        metadata = row.get("metadata") or metadata
         out["entries"].append(row)
     return out
 
 
-def decode(archives: DataFrame, max_files: int = 10_000) -> DataFrame:
-    """The records of ``archives`` (archive_id, length, content), one row each; fields are null where there are none."""
+#: Bytes of an Arrow batch that comes from Python.
+BATCH_BYTES = 4 << 20
+
+
+def decode(archives: DataFrame, max_files: int = 10_000, *, with_content: bool = False) -> DataFrame:
+    """The records of ``archives`` (archive_id, length, content), one row each; fields are null where there are none.
+
+    magic: zip if the content begins as an archive does, gz, or unknown. ``with_content`` keeps the content beside them.
+    No shuffle.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -131,8 +168,13 @@ def decode(archives: DataFrame, max_files: int = 10_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, length, digest, content in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                row = {"archive_id": i, "length": length, "sha256": digest} | (decode_bytes(content, max_files) if content is not None else {})
-                yield pa.RecordBatch.from_pylist([row], schema=arrow)
-
-    return archives.select("archive_id", "length", F.sha2("content", 256), "content").mapInArrow(run, DECODED)
+            rows = []
+            for i, length, digest, magic, content in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                rows.append({"archive_id": i, "length": length, "sha256": digest, "magic": magic} | (decode_bytes(content, max_files) if content is not None and magic == "zip" else {}))
+            out = pa.RecordBatch.from_pylist(rows, schema=arrow)
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(4)], names=[*arrow.names, "content"]) if with_content else out
+
+    first = F.hex(F.substring("content", 1, 3))
+    magic = F.when(first.isin("504B03", "504B05") & (F.octet_length("content") >= 4), "zip").when(F.startswith(first, F.lit("1F8B")), "gz").otherwise("unknown")
+    rows = archives.select("archive_id", "length", F.sha2("content", 256), F.when(F.col("content").isNotNull(), magic), "content")
+    return rows.mapInArrow(run, DECODED + ", content binary" if with_content else DECODED)

@@ -1,5 +1,8 @@
 """Decoding, structural checks, path rules and admission checks on constructed archives."""
 
+import struct
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,13 +31,57 @@ CASES = {
     "crypt": (patched(6, b"\x01"), "zip.diff.a5_crypt"),
     "flags": (patched(6, b"\x02"), "zip.flags"),
     "size": (patched(18, b"\x01"), "zip.diff.a2_size"),
-    "signature": (patched(0, b"XX"), "zip.diff.c1_stream"),
+    "signature": (patched(3, b"\0"), "zip.diff.c1_stream"),
+    "magic": (patched(0, b"XX"), "format.unsupported"),
+    "gzip": (b"\x1f\x8b" + GOOD, "format.unsupported"),
     "central": (patched(CENTRAL_AT, b"XX"), "zip.diff.c3_count"),
     "count": (patched(len(GOOD) - 14, b"\x03"), "zip.diff.c3_count"),
-    "gap": (b"Z" + GOOD, "zip.diff.c4_offset"),
+    "prefix": (b"Z" + GOOD, "format.unsupported"),
+    "gap": (GOOD[:44] + b"PK" + GOOD[44:], "zip.diff.c4_offset"),
+    "hidden": (b"PK\x03\x04" + struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, 0, 0, 0, 4, 0), "zip.diff.c1_stream"),
 }
 
 
+def one(payload=b"data", *, flags=0, method=0, name=b"m", central=b"", local=b"", comment=b"", descriptor=b"", lname=None, lmethod=None, sizes=None, lsizes=None, offset=0, names=None) -> bytes:
+    """One member with those fields; l...: of the local header, where they differ."""
+    sizes = sizes or (zlib.crc32(payload), len(payload), len(payload))
+    lname, lmethod = name if lname is None else lname, method if lmethod is None else lmethod
+    lsizes = lsizes or ((0, 0, 0) if flags & 8 else sizes)
+    body = struct.pack("<4s5H3I2H", b"PK\x03\x04", 20, flags, lmethod, 0, 0x21, *lsizes, len(lname), len(local)) + lname + local + payload + descriptor
+    listing = struct.pack("<4s6H3I5H2I", b"PK\x01\x02", 0x0314, 20, flags, method, 0, 0x21, *sizes, len(name) if names is None else names, len(central), len(comment), 0, 0, 0, offset) + name + central + comment
+    return body + listing + struct.pack("<4s4H2IH", b"PK\x05\x06", 0, 0, 1, 1, len(listing), len(body), 0)
+
+
+def extra(*ids: int) -> bytes:
+    return b"".join(struct.pack("<HH", k, 2) + b"xx" for k in ids)
+
+
+def described(payload=b"data", wrong=0, signed=True) -> bytes:
+    return (b"PK\x07\x08" if signed else b"") + struct.pack("<3I", zlib.crc32(payload) ^ wrong, len(payload), len(payload))
+
+
+BIG = 0xFFFFFFFF
+#: One fault each, then pairs of faults: the one that is looked at first is the answer.
+CASES |= {
+    "described": (one(flags=8, descriptor=described()), None), "unsigned": (one(flags=8, descriptor=described(signed=False)), None),
+    "alternate": (one(b"xPK\x03\x04x", flags=8, descriptor=described(b"xPK\x03\x04x")), "zip.diff.c1_stream"), "plain payload": (one(b"xPK\x03\x04x"), None),
+    "descriptor differs": (one(flags=8, descriptor=described(wrong=1)), "zip.diff.a2_size"), "no descriptor": (one(flags=8)[:35] + one(flags=8)[35:], "zip.diff.a2_size"),
+    "placeholders": (one(flags=8, descriptor=described(), lsizes=(1, 0, 0)), "zip.diff.a2_size"), "described past the end": (one(flags=8, sizes=(zlib.crc32(b"data"), 4000, 4), lsizes=(0, 0, 0)), "zip.diff.c4_offset"),
+    "descriptor past the end": (one(flags=8, method=8, sizes=(zlib.crc32(b"data"), 102, 4), lsizes=(0, 0, 0)), "zip.diff.c4_offset"),
+    "extra": (one(central=extra(7, 9), local=extra(7)), None), "twice": (one(central=extra(7, 7)), "zip.extra"), "cut extra": (one(local=extra(7)[:-1]), "zip.extra"),
+    "zip64 extra": (one(local=extra(1)), "zip.diff.c5_zip64"), "unicode path": (one(central=extra(0x7075)), "zip.diff.a3_name"), "sentinel": (one(sizes=(0, BIG, BIG)), "zip.diff.c5_zip64"),
+    "comment": (one(comment=b"PK\x05\x06"), "zip.diff.c2_eocd"), "header past the end": (one(offset=5000), "zip.diff.c4_offset"), "long local name": (one()[:26] + b"\xff\x0f" + one()[28:], "zip.diff.c4_offset"),
+    "encoding": (one(name=b"\xe9"), "zip.encoding"), "flagged": (one(name="é".encode(), flags=0x800), None), "directory with bytes": (one(name=b"d/"), "zip.diff.a4_dir"),
+    "sentinel, then overflow": (one(sizes=(0, BIG, BIG), names=9999), "zip.diff.c5_zip64"), "overflow": (one(names=9999), "zip.diff.c3_count"),
+    "central extra, then header": (one(central=extra(7, 7), offset=5000), "zip.extra"), "header, then local extra": (one(local=extra(1), offset=5000), "zip.diff.c4_offset"),
+    "central extra, then comment": (one(central=extra(0x7075), comment=b"PK\x05\x06"), "zip.diff.a3_name"), "comment, then local extra": (one(comment=b"PK\x05\x06", local=extra(1)), "zip.diff.c2_eocd"),
+    "central twice, then local zip64": (one(central=extra(7, 7), local=extra(1)), "zip.extra"), "zip64, then twice": (one(central=extra(1, 7, 7)), "zip.diff.c5_zip64"), "twice, then zip64": (one(central=extra(7, 7, 1)), "zip.extra"),
+    "local extra, then name": (one(local=extra(1), lname=b"x"), "zip.diff.c5_zip64"), "name, then method": (one(lname=b"x", lmethod=8), "zip.diff.a3_name"), "method, then sizes": (one(lmethod=8, lsizes=(1, 1, 1)), "zip.diff.a1_method"),
+    "sizes, then encoding": (one(name=b"\xe9", lsizes=(1, 1, 1)), "zip.diff.a2_size"), "encoding, then payload": (one(b"xPK\x03\x04x", name=b"\xe9", flags=8, descriptor=described(b"xPK\x03\x04x")), "zip.encoding"),
+    "payload, then descriptor": (one(b"xPK\x03\x04x", flags=8, descriptor=described(wrong=1)), "zip.diff.c1_stream"),
+}
+
+
 @pytest.fixture(scope="module")
 def codes(spark):
     rows = [(k, len(v[0] or b""), bytearray(v[0]) if v[0] is not None else None) for k, v in CASES.items()]
@@ -47,6 +94,14 @@ def test_first_failure(codes, name):
     assert codes.get(name) == CASES[name][1]
 
 
+def test_metadata_is_counted_member_by_member(spark):
+    data = pack_bytes([("a" * 100, b""), ("b" * 100, b"")])
+    decoded = decode(spark.createDataFrame([("x", len(data), bytearray(data))], "archive_id string, length long, content binary"))
+    size = 2 * 146 + 200  # the listing, and the names again for their local headers
+    code = lambda cap: decoded.select(structure.first_failure(max_metadata=cap).alias("c")).first().c
+    assert [code(x) for x in (size, size - 1, size - 101, 291)] == [None, "quota.metadata", "quota.metadata", "quota.metadata"]
+
+
 def test_any_prefix_or_flipped_byte_gives_a_row(spark):
     rows = [(f"p{k}", k, bytearray(GOOD[:k])) for k in range(0, len(GOOD), 7)]
     rows += [(f"x{k}", len(GOOD), bytearray(patched(k, bytes([GOOD[k] ^ 0xFF])))) for k in range(0, len(GOOD), 5)]
