@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quayside.functions.jail import canonical, path_code, ratio_exceeds
+from quayside.operators.structure import decoded_name
 
 
 @dataclass(frozen=True)
@@ -22,6 +23,77 @@ class Caps:
     max_metadata_bytes: int = 4 << 20
 
 
+def plan(caps: Caps) -> Column:
+    """For each entry of a decoded archive, in order: what the sequential scan needs (see ``scan``), path null where a rule is broken."""
+
+    def member(e: Column) -> Column:
+        name = decoded_name(e)
+        stripped = F.regexp_replace(name, r"/\z", "")
+        own = (
+            F.when(e["flags"].bitwiseAND(1) != 0, "zip.encrypted").when(~e["method"].isin(0, 8), "method.unsupported").when(e["plain"] > caps.max_member_bytes, "quota.member")
+            .when(ratio_exceeds(e["plain"], e["packed"], F.lit(caps.max_ratio).cast("long")), "quota.ratio")
+        )
+        jail = path_code(stripped, caps.max_path_depth)
+        fields = ("cd_index", "method", "packed", "plain", "crc", "payload_offset")
+        return F.struct(*[e[x].alias(x) for x in fields], F.endswith(name, F.lit("/")).alias("is_dir"), F.when(jail.isNull(), canonical(stripped)).alias("path"), own.alias("own"), jail.alias("jail"))
+
+    return F.transform("entries", member)
+
+
+def with_paths(entries: DataFrame, max_depth: int = 32) -> DataFrame:
+    """``entries`` with is_dir and the canonical path, null where a path rule is broken."""
+    raw = decoded_name()
+    stripped = F.regexp_replace(raw, r"/\z", "")
+    return entries.withColumn("is_dir", F.endswith(raw, F.lit("/"))).withColumn("path", F.when(path_code(stripped, max_depth).isNull(), canonical(stripped)))
+
+
+def scan(members: list[dict], max_total: int) -> list[tuple[int, str]]:
+    """(cd_index, code) of the findings in the order in which a scan of one archive makes them.
+
+    Each member is compared with those accepted before it; the first that breaks the running total ends the scan. This is
+    a fold over one archive's members, of which there are at most ``max_files``.
+    """
+    found: list[tuple[int, str]] = []
+    total = 0
+    exact, folded = _Accepted(), _Accepted()
+    for m in members:
+        code = m["own"]
+        if code is None:
+            total += m["plain"]
+            if total > max_total:
+                found.append((m["cd_index"], "quota.total"))
+                break
+            path, code = m["path"], m["jail"]
+            if code is None:
+                low = path.lower()
+                code = "zip.diff.b1_dup" if path in exact.kinds else "path.case_fold" if low in folded.kinds else None
+                code = code or ("path.conflict" if exact.conflicts(path, m["is_dir"]) else "path.case_fold" if folded.conflicts(low, m["is_dir"]) else None)
+            if code is None:
+                exact.add(path, m["is_dir"])
+                folded.add(low, m["is_dir"])
+        if code is not None:
+            found.append((m["cd_index"], code))
+    return found
+
+
+class _Accepted:
+    """Accepted paths, and all folders above them."""
+
+    def __init__(self) -> None:
+        self.kinds: dict[str, bool] = {}
+        self.above: set[str] = set()
+
+    def _up(self, path: str) -> list[str]:
+        return [path[:k] for k, sign in enumerate(path) if sign == "/"]
+
+    def conflicts(self, path: str, is_dir: bool) -> bool:
+        return any(self.kinds.get(x) is False for x in self._up(path)) or (not is_dir and path in self.above)
+
+    def add(self, path: str, is_dir: bool) -> None:
+        self.kinds[path] = is_dir
+        self.above.update(self._up(path))
+
+
 def judged_members(members: DataFrame, caps: Caps) -> DataFrame:
     """``members`` (archive_id, cd_index, raw, flags, method, packed, plain) with path and code (null: nothing found yet).
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quayside.operators import admission, structure, verification
 from quayside.sources.archives import decode
@@ -29,28 +34,65 @@ def axes(phase: Column, code: Column) -> dict[str, Column]:
     }
 
 
-def inspect(archives: DataFrame, caps: admission.Caps | None = None, *, max_bytes: int = 512 << 20) -> DataFrame:
-    """(archive_id, phase, code, result, and the axes) of ``archives`` (archive_id, length, content): one row each.
+MEMBER = "cd_index int, path string, is_dir boolean, method int, packed long, plain long, payload_offset long, size long, crc long, sha256 string, status string, code string"
+INSPECTED = f"archive_id string, sha256 string, phase string, codes array<string>, members array<struct<{MEMBER.replace(' ', ':').replace(',:', ',')}>>"
+
+
+def inspected(archives: DataFrame, caps: admission.Caps | None = None, *, max_bytes: int = 512 << 20, with_content: bool = False) -> DataFrame:
+    """(archive_id, sha256, phase, codes, members) of ``archives`` (archive_id, length, content): one row each.
 
-    phase and code: where the first finding stopped it. result: ALLOWED, or the distinct codes of that phase by
-    first member, joined by +. Too long archives are quota.archive, others without content source.io. Only archives that passed each
-    phase reach the next, so rejected ones are never decompressed.
+    phase: where it was stopped (source, structure, admission, verification; null: nowhere). codes: the findings there, in
+    the order in which a scan makes them, repeated codes too. members: what verification got to know, in listing order;
+    empty if an earlier phase stopped it, so rejected archives are never decompressed. Too long archives are
+    quota.archive, others without content source.io. ``with_content`` keeps the content of archives that passed the first
+    two phases.
+
+    Plan: archives don't depend on each other, so all phases are projections and two passes over the rows of archives in
+    place: no shuffle, no join, each archive's bytes are read once.
     """
     caps = caps or admission.Caps()
-    source = archives.select("archive_id", F.when(F.col("length") > max_bytes, "quota.archive").when(F.col("content").isNull(), "source.io").alias("code"))
-    decoded = decode(archives.where((F.col("length") <= max_bytes) & F.col("content").isNotNull()), caps.max_files)
-    broken = structure.first_failures(decoded, caps.max_files, caps.max_metadata_bytes)
-    each = structure.entries(decoded).join(broken, "archive_id", "left_anti").withColumn("raw", structure.decoded_name())
-    denied = admission.findings(each, caps)
-    admitted = each.join(denied.select("archive_id").distinct(), "archive_id", "left_anti")
-    failed = verification.verify(archives, admitted).where("code IS NOT NULL")
-    first = [source.where("code IS NOT NULL").select("archive_id", F.lit("source").alias("phase"), F.lit(0).alias("cd_index"), "code"), broken.select("archive_id", F.lit("structure"), F.lit(0), "code")]
-    rows = first[0].union(first[1]).union(denied.select("archive_id", F.lit("admission"), "cd_index", "code")).union(failed.select("archive_id", F.lit("verification"), "cd_index", "code"))
-    by_code = rows.groupBy("archive_id", "phase", "code").agg(F.min("cd_index").alias("cd_index"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("cd_index", "code"))), lambda x: x["code"])
-    stops = by_code.groupBy("archive_id", "phase").agg(in_order.alias("codes")).select("archive_id", "phase", F.get("codes", F.lit(0)).alias("code"), F.array_join("codes", "+").alias("result"))
-    out = archives.select("archive_id").join(stops, "archive_id", "left")
-    return out.withColumn("result", F.coalesce("result", F.lit("ALLOWED"))).select("*", *[c.alias(k) for k, c in axes(F.col("phase"), F.col("code")).items()])
+    own = archives.select("archive_id", "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    decoded = decode(own, caps.max_files, with_content=True)
+    source = F.when(F.col("length") > max_bytes, "quota.archive").when(F.col("content").isNull(), "source.io")
+    broken = structure.first_failure(caps.max_files, caps.max_metadata_bytes)
+    checked = decoded.select("archive_id", "sha256", "content", "entries", source.alias("source"), F.when(source.isNull(), broken).alias("structure"))
+    sound = F.col("source").isNull() & F.col("structure").isNull()
+    rows = checked.select("archive_id", "sha256", "source", "structure", F.when(sound, F.col("content")).alias("content"), F.when(sound, admission.plan(caps)).alias("plan"))
+    arrow = to_arrow_schema(T.StructType.fromDDL(INSPECTED))
+
+    def answer(row: dict) -> dict:
+        out = {"archive_id": row["archive_id"], "sha256": row["sha256"], "members": []}
+        for phase in ("source", "structure"):
+            if row[phase]:
+                return out | {"phase": phase, "codes": [row[phase]]}
+        found = admission.scan(row["plan"], caps.max_total_bytes)
+        if found:
+            return out | {"phase": "admission", "codes": [code for _, code in found]}
+        out["members"], code = verification.verified(row["content"], row["plan"])
+        return out | {"phase": code and "verification", "codes": [code] if code else []}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.RecordBatch.from_pylist([answer(r) for r in batch.to_pylist()], schema=arrow)
+            yield pa.RecordBatch.from_arrays([*out.columns, batch.column("content")], names=[*arrow.names, "content"]) if with_content else out
+
+    return rows.mapInArrow(run, INSPECTED + ", content binary" if with_content else INSPECTED)
+
+
+def members_of(found: DataFrame) -> DataFrame:
+    """A row for each member of ``inspected`` archives."""
+    return found.select("archive_id", F.explode("members").alias("m")).select("archive_id", "m.*")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """``inspected`` archives with code (the first finding), result (ALLOWED, or all codes joined by +) and the axes."""
+    named = found.withColumn("code", F.get("codes", F.lit(0))).withColumn("result", F.when(F.col("phase").isNull(), "ALLOWED").otherwise(F.array_join("codes", "+")))
+    return named.select("*", *[c.alias(k) for k, c in axes(F.col("phase"), F.col("code")).items()])
+
+
+def inspect(archives: DataFrame, caps: admission.Caps | None = None, *, max_bytes: int = 512 << 20) -> DataFrame:
+    """(archive_id, phase, code, result, and the axes) of ``archives`` (archive_id, length, content): one row each. See ``inspected``."""
+    return judged(inspected(archives, caps, max_bytes=max_bytes)).drop("sha256", "codes", "members")
 
 
 def corpus_counts(outcomes: DataFrame, group: Column) -> DataFrame:

@@ -34,7 +34,7 @@ CASES = {
     "crc": (with_payload(HELLO, 45, CRC ^ 1), "crc.mismatch"), "more": (with_payload(HELLO, 44, CRC), "quota.declared_lie"), "less": (with_payload(HELLO, 46, CRC), "quota.declared_lie"),
     "trailing": (with_payload(HELLO + b"x", 45, CRC), "codec.deflate.trailing_input"), "cut": (with_payload(HELLO[:-1], 45, CRC), "codec.deflate.invalid_stream"),
     "noise": (with_payload(b"\xff" * 9, 45, CRC), "codec.deflate.invalid_stream"), "bomb": (with_payload(raw(b"\0" * 10_000_000), 900_000, 0), "quota.declared_lie"),
-    "path": (pack_bytes([("../x", b""), ("ab:c", b""), ("../y", b"")]), "path.dotdot+path.ads"), "junk": (b"x" * 50, "format.unsupported"), "gone": (None, "source.io"),
+    "path": (pack_bytes([("../x", b""), ("ab:c", b""), ("../y", b"")]), "path.dotdot+path.ads+path.dotdot"), "junk": (b"x" * 50, "format.unsupported"), "gone": (None, "source.io"),
 }
 
 
