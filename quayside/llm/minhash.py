@@ -162,7 +162,8 @@ def _classed(docs: DataFrame, s: Sketching, broadcast_ids: int) -> DataFrame:
     sketch = classes.select("id", "sketch", "n", "least", "lo")
 
     in_bands = classes.select(F.explode("bands").alias("band"), "id")
-    tops = in_bands.groupBy("band").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # kept, so that the join below has plain exchanges on both sides and a very common band can be split
+    tops = keep(in_bands.groupBy("band").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("members")).where("members > 1"), "tops")
     banded = keep(in_bands.join(tops, "band"), "banded")
     stars = banded.where("id != top").select(F.col("top").alias("a"), F.col("id").alias("b")).distinct()
     stars = stars.join(sketch.toDF("a", "x", "nx", "da", "la"), "a").join(sketch.toDF("b", "y", "ny", "db", "lb"), "b").where(_likely(s, "x", "y", "nx", "ny"))
@@ -172,6 +173,7 @@ def _classed(docs: DataFrame, s: Sketching, broadcast_ids: int) -> DataFrame:
     rest = banded.where("members > 2").join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
     sizes = rest.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("large"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    mixed = keep(mixed, "mixed")
     groups = F.ceil(F.col("members") / _MEMBERS)
     rest = rest.join(mixed.select("band", "large", groups.alias("groups")), "band").join(sketch, "id")
     rest = keep(rest.select("band", "id", "component", (F.col("component") == F.col("large")).alias("large"), "groups", "sketch", "n", "least", "lo"), "rest")
