@@ -14,11 +14,6 @@ def components(raw: Column) -> Column:
     return F.filter(F.split(raw, "/", -1), lambda p: p != ".")
 
 
-def dropped_dots(raw: Column) -> Column:
-    """Positions, among all parts, of those that are a dot."""
-    return F.filter(F.transform(F.split(raw, "/", -1), lambda p, k: F.when(p == ".", k)), lambda k: k.isNotNull())
-
-
 def canonical(raw: Column) -> Column:
     return F.array_join(components(raw), "/")
 
@@ -51,6 +46,13 @@ def path_code(raw: Column, max_depth: int = 32) -> Column:
     )
 
 
+def under(folder: str, path: Column) -> Column:
+    """The place of a relative path below ``folder``, and path.escape where it would not be strictly below it: (target, code)."""
+    parts = F.split(path, "/", -1)
+    out = path.isNull() | F.startswith(path, F.lit("/")) | F.exists(parts, lambda p: p.isin("", ".", ".."))
+    return F.struct(F.when(~out, F.concat(F.lit(folder.rstrip("/") + "/"), path)).alias("target"), F.when(out, "path.escape").alias("code"))
+
+
 def ratio_exceeds(plain: Column, packed: Column, most: Column) -> Column:
     """Whether plain > most * packed, without overflow of longs; nothing packed makes any plain byte too much."""
     return F.when(most.isNull(), F.lit(False)).when(packed == 0, plain > 0).otherwise((plain > 0) & (F.call_function("div", plain - 1, packed) >= most))

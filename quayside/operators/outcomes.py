@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -20,13 +20,18 @@ BROKEN_PAYLOAD = ("codec.deflate.invalid_stream", "codec.deflate.trailing_input"
 
 
 def axes(phase: Column, code: Column) -> dict[str, Column]:
-    """Interpretation, admission, verification, completeness, verdict and exit code of an inspection that stopped in that phase (null: did not)."""
+    """Interpretation, admission, verification, completeness, verdict and exit code of an inspection that stopped in that phase (null: did not).
+
+    A covering that its audit doesn't bear out is malformed and denied, whatever the phase.
+    """
     ok = phase.isNull()
     interpretation = (
         F.when(ok | (phase == "admission") | code.isin(*QUOTAS), "interpreted").when(phase == "source", "indeterminate")
         .when((phase == "structure") & code.isin(*UNSUPPORTED), "unsupported").when((phase == "structure") | code.isin(*BROKEN_PAYLOAD), "malformed").otherwise("interpreted")
     )
     denied = (phase == "admission") | ((phase == "structure") & code.isin(*QUOTAS)) | ((phase == "verification") & ~code.isin(*BROKEN_PAYLOAD)) | ((phase == "source") & (code == "quota.archive"))
+    inconsistent = F.coalesce(code == "covering.inconsistent", F.lit(False))
+    interpretation, denied = F.when(inconsistent, "malformed").otherwise(interpretation), inconsistent | denied
     admitted = F.when(ok, "admitted").when(denied, "denied").otherwise("not-evaluated")
     return {
         "interpretation": interpretation, "admission": admitted, "verification": F.when(ok, "complete").when(phase == "verification", "partial").otherwise("structure-only"),
@@ -90,6 +95,53 @@ def judged(found: DataFrame) -> DataFrame:
     return named.select("*", *[c.alias(k) for k, c in axes(F.col("phase"), F.col("code")).items()])
 
 
+def with_effect(answers: DataFrame, report: DataFrame) -> DataFrame:
+    """``judged`` or ``inspect`` answers after publication was asked for: ``report`` has archive_id, outcome and code.
+
+    Archives that weren't admitted keep their answer. Of the others, a committed one is allowed and written; else the
+    effect has failed and the exit code is 3: in setup (setup-failed) nothing is verified any more and the phase is effect,
+    after verification the view stays complete.
+    """
+    rows = answers.join(report.select("archive_id", F.col("outcome").alias("_outcome"), F.col("code").alias("_code")), "archive_id", "left")
+    asked = F.col("phase").isNull() & F.col("_outcome").isNotNull()
+    done, setup = asked & (F.col("_outcome") == "committed"), asked & (F.col("_outcome") == "setup-failed")
+    failed = asked & (F.col("_outcome") != "committed")
+    changed = {
+        "wrote": F.coalesce(done, F.lit(False)), "effect": F.when(done, "committed").when(failed, "failed").otherwise(F.col("effect")),
+        "verification": F.when(setup, "structure-only").otherwise(F.col("verification")), "completeness": F.when(setup, "partial").otherwise(F.col("completeness")),
+        "verdict": F.when(failed, "rejected").otherwise(F.col("verdict")), "exit_code": F.when(failed, 3).otherwise(F.col("exit_code")),
+        "code": F.when(failed, F.col("_code")).otherwise(F.col("code")), "result": F.when(failed, F.col("_code")).otherwise(F.col("result")), "phase": F.when(setup, "effect").otherwise(F.col("phase")),
+    }
+    return rows.withColumns(changed).drop("_outcome", "_code")
+
+
+#: Every code, by the phase in which it is found first.
+CODES = {
+    "source": ["policy.unsupported", "quota.archive", "source.io"],
+    "structure": [
+        "format.unsupported", "format.magic", "quota.files", "quota.metadata", "quota.overflow", "zip.diff.a1_method", "zip.diff.a2_size", "zip.diff.a3_name", "zip.diff.a4_dir", "zip.diff.a5_crypt",
+        "zip.diff.b2_chars", "zip.diff.c1_stream", "zip.diff.c2_eocd", "zip.diff.c3_count", "zip.diff.c4_offset", "zip.diff.c5_zip64", "zip.overlap", "zip.encoding", "zip.extra", "zip.flags", "covering.inconsistent",
+    ],
+    "admission": [
+        "path.absolute", "path.dotdot", "path.empty", "path.ads", "path.reserved", "path.trailing", "path.escape", "path.depth", "path.nul", "path.invalid_char", "path.unicode", "path.case_fold", "path.conflict",
+        "quota.member", "quota.total", "quota.ratio", "zip.diff.b1_dup", "zip.encrypted", "method.unsupported",
+    ],
+    "verification": ["quota.declared_lie", "codec.deflate.invalid_stream", "codec.deflate.trailing_input", "crc.mismatch"],
+    "effect": [
+        "materialize.exists", "materialize.io", "materialize.commit", "materialize.unsafe_parent", "materialize.unsafe_component", "materialize.cleanup", "materialize.unsupported",
+        "materialize.unsupported_filesystem", "materialize.unsafe_stage", "materialize.audit",
+    ],
+}
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(code, phase, interpretation, admission): every code and what an archive that is stopped by it is told."""
+    rows = spark.createDataFrame([(code, phase) for phase, codes in CODES.items() for code in codes], "code string, phase string")
+    told = axes(F.col("phase"), F.col("code"))
+    effect, policy = F.col("phase") == "effect", F.col("code") == "policy.unsupported"
+    return rows.select("code", "phase", F.when(effect, "interpreted").otherwise(told["interpretation"]).alias("interpretation"), F.when(effect, "admitted").when(policy, "denied").otherwise(told["admission"]).alias("admission"))
+
+
 def inspect(archives: DataFrame, caps: admission.Caps | None = None, *, max_bytes: int = 512 << 20) -> DataFrame:
     """(archive_id, phase, code, result, and the axes) of ``archives`` (archive_id, length, content): one row each. See ``inspected``."""
     return judged(inspected(archives, caps, max_bytes=max_bytes)).drop("sha256", "codes", "members")

@@ -25,10 +25,26 @@ ENTRY = (
 DECODED = f"archive_id string, length long, sha256 string, magic string, end_offset long, disk int, cd_disk int, this_count int, total_count int, cd_size long, cd_offset long, comment binary, entries array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>"
 
 
+def bounded(files: DataFrame, max_bytes: int) -> DataFrame:
+    """(archive_id, length, content) of ``files`` (path, length, content) that end in .zip in any case; content is null if too long.
+
+    The two branches read different columns: the limit is pushed down to the file listing, and the content of longer files is
+    never asked for.
+    """
+    zips = files.where(F.endswith(F.lower("path"), F.lit(".zip")))
+    short = zips.where(F.col("length") <= max_bytes).select(F.col("path").alias("archive_id"), "length", "content")
+    return short.union(zips.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary")))
+
+
 def scan(spark: SparkSession, path: str, max_bytes: int = 512 << 20) -> DataFrame:
-    """(archive_id, length, content) of the files under ``path`` ending in .zip in any case; content is null if too long."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").endswith(".zip"))
-    return files.select(F.col("path").alias("archive_id"), "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    """(archive_id, length, content) of the .zip files under ``path``. Links are not followed; sort by archive_id where order counts."""
+    return bounded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)
+
+
+def requested(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``found`` archives that ``wanted`` (archive_id) names, once each; those that aren't found have length 0 and no content, which inspections answer with source.io."""
+    rows = wanted.select("archive_id").distinct().join(found, "archive_id", "left")
+    return rows.select("archive_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"), "content")
 
 
 def pack_bytes(members: list[tuple[str, bytes]], deflate: bool = False) -> bytes:

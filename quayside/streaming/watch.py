@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quayside.operators.admission import Caps
 from quayside.operators.outcomes import inspect
+from quayside.sources.archives import bounded
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, caps: Caps | None = None, *, max_files_a_batch: int = 1000, max_bytes: int = 512 << 20) -> StreamingQuery:
@@ -19,7 +19,6 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, caps: Cap
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files_a_batch).load(folder)
 
     def each(batch: DataFrame, number: int) -> None:
-        zips = batch.where(F.lower("path").endswith(".zip")).select(F.col("path").alias("archive_id"), "length", F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
-        inspect(zips, caps, max_bytes=max_bytes).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+        inspect(bounded(batch, max_bytes), caps, max_bytes=max_bytes).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -154,3 +154,66 @@ def test_publishing_refuses_unsafe_places(tmp_path):
     with pytest.raises(folder.Refused):
         folder.audit(stage, [row])
     os.close(stage)
+
+
+def test_sources(spark, tmp_path):
+    from quayside.sources.archives import requested, scan
+
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/a.zip").write_bytes(TREE)
+    (tmp_path / "in/deep/B.ZIP").write_bytes(b"x" * 5000)
+    (tmp_path / "in/c.txt").write_bytes(b"no")
+    base = f"file:{tmp_path}/in/"
+    got = {r.archive_id.removeprefix(base): (r.length, r.content is None) for r in scan(spark, f"{tmp_path}/in", max_bytes=len(TREE)).collect()}
+    assert got == {"a.zip": (len(TREE), False), "deep/B.ZIP": (5000, False)}
+    got = {r.archive_id.removeprefix(base): (r.length, r.content is None) for r in scan(spark, f"{tmp_path}/in", max_bytes=4000).collect()}
+    assert got == {"a.zip": (len(TREE), True), "deep/B.ZIP": (5000, True)}
+    wanted = spark.createDataFrame([(base + x,) for x in ("a.zip", "gone.zip", "gone.zip")], "archive_id string")
+    found = outcomes.inspect(requested(scan(spark, f"{tmp_path}/in"), wanted))
+    assert sorted((r.archive_id.removeprefix(base), r.result) for r in found.collect()) == [("a.zip", "ALLOWED"), ("gone.zip", "source.io")]
+
+
+def test_paths_below_a_folder(spark):
+    from quayside.functions.jail import under
+
+    rows = spark.createDataFrame([("a/b",), ("../x",), ("/x",), ("a//b",), ("",), (None,), ("a/.",)], "p string")
+    got = [tuple(r.u) for r in rows.select(under("/d/", F.col("p")).alias("u")).collect()]
+    assert got == [("/d/a/b", None)] + [(None, "path.escape")] * 6
+
+
+def test_effects_and_the_registry(spark):
+    answers = outcomes.inspect(table(spark, done=TREE, setup=TREE, late=TREE, bad=pack_bytes([("../x", b"x")])))
+    report = spark.createDataFrame([("done", "committed", None), ("setup", "setup-failed", "materialize.exists"), ("late", "failed", "materialize.audit"), ("bad", "not-started", None)], "archive_id string, outcome string, code string")
+    got = {r.archive_id: (r.effect, r.verdict, r.exit_code, r.verification, r.completeness, r.phase, r.wrote, r.admission) for r in outcomes.with_effect(answers, report).collect()}
+    assert got == {
+        "done": ("committed", "allowed", 0, "complete", "complete", None, True, "admitted"), "setup": ("failed", "rejected", 3, "structure-only", "partial", "effect", False, "admitted"),
+        "late": ("failed", "rejected", 3, "complete", "complete", None, False, "admitted"), "bad": ("not-requested", "rejected", 2, "structure-only", "partial", "admission", False, "denied"),
+    }
+    told = {r.code: (r.phase, r.interpretation, r.admission) for r in outcomes.registry(spark).collect()}
+    assert len(told) == sum(map(len, outcomes.CODES.values())) == 57
+    assert told["quota.archive"] == ("source", "indeterminate", "denied") and told["covering.inconsistent"] == ("structure", "malformed", "denied") and told["materialize.io"] == ("effect", "interpreted", "admitted")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quayside.__main__ import main
+
+    os.chmod(tmp_path, 0o700)
+    (tmp_path / "c/k").mkdir(parents=True)
+    (tmp_path / "c/k/a.zip").write_bytes(TREE)
+    (tmp_path / "c/k/b.zip").write_bytes(b"junk")
+    assert main([f"{tmp_path}/c/k/a.zip", "--dest", f"{tmp_path}/out"], spark) == 0 and (tmp_path / "out/a/b.txt").read_bytes() == b"hello"
+    out, err = capsys.readouterr()
+    assert json.loads(out)["wrote"] is True and json.loads(err[err.index("{") :])["materialization"]["outcome"] == "committed"
+    (tmp_path / "out/a/b.txt").write_bytes(b"else")
+    assert main([f"{tmp_path}/c/k/a.zip", "--dest", f"{tmp_path}/out"], spark) == 3
+    assert main([f"{tmp_path}/c/k/b.zip"], spark) == 2 and main([f"{tmp_path}/gone.zip"], spark) == 2
+    capsys.readouterr()
+    assert main(["--classify", f"{tmp_path}/c"], spark) == 0
+    out = capsys.readouterr().out
+    digest = re.search(r"corpus\tsha256\t([0-9a-f]{64})", out)[1]
+    assert "k\tALLOWED\t1\t" in out and "k\tformat.unsupported\t1\t" in out
+    good = f"total 2\ndigest sha256 {digest}\ncount k ALLOWED 1\ncount k format.unsupported 1\nallow k/a.zip\n"
+    (tmp_path / "expect").write_text(good)
+    assert main(["--classify", f"{tmp_path}/c", "--expect", f"{tmp_path}/expect"], spark) == 0
+    (tmp_path / "expect").write_text(good.replace("k/a.zip", "k/b.zip"))
+    assert main(["--classify", f"{tmp_path}/c", "--expect", f"{tmp_path}/expect"], spark) == 1
