@@ -91,11 +91,14 @@ def corpus_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covering_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit of the ranges that decoding claims."""
+    """The audit of the ranges that decoding claims; by doc_id modulo 5, a claim is wrong: the digest, the number of members, a record's end, an offset."""
     archives = _compressed(spark, sf_dir)
     decoded = decode(archives)
-    claims = decoded.select("archive_id", "sha256", "cd_offset", "cd_size", "end_offset", F.octet_length("comment").alias("comment_size"), F.col("total_count").alias("count"))
-    return covering.audit(archives, claims, structure.entries(decoded))
+    k = F.pmod(F.col("archive_id").cast("long"), F.lit(5))
+    more = lambda n, name: F.col(name) + F.when(k == n, 1).otherwise(0)
+    claims = decoded.select("archive_id", F.when(k == 1, F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"), "cd_offset", "cd_size", "end_offset", F.octet_length("comment").alias("comment_size"), more(2, "total_count").alias("count"))
+    members = structure.entries(decoded).withColumn("record_end", more(3, "record_end")).withColumn("cdh_offset", more(4, "cdh_offset"))
+    return covering.audit(archives, claims, members)
 
 
 def content_root(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +231,7 @@ SQL = {
 SELECT p_brand AS archive_id, p_partkey AS cd_index, CASE WHEN a > 1 THEN 'zip.diff.b1_dup' ELSE 'path.case_fold' END AS code FROM r WHERE a > 1 OR b > 1""",
     "archive_summary": "SELECT source, count(*) AS members, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY source",
     "verified_members": "SELECT doc_id::VARCHAR AS archive_id, 0::INTEGER AS cd_index, octet_length(encode(text))::BIGINT AS size, sha256(text) AS sha256, 'verified' AS status, NULL::VARCHAR AS code FROM documents",
-    "covering_audit": "SELECT doc_id::VARCHAR AS archive_id, NULL::VARCHAR AS code FROM documents",
+    "covering_audit": "SELECT doc_id::VARCHAR AS archive_id, CASE WHEN doc_id % 5 <> 0 THEN 'covering.inconsistent' END AS code FROM documents",
     "path_jail": r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS raw FROM pages),
 c AS (SELECT *, list_filter(string_split(raw, '/'), lambda x: x <> '.') AS parts FROM p),
 f AS (SELECT *, list_filter(list_transform(parts, lambda x: CASE WHEN x = '' THEN 'path.empty' WHEN x = '..' THEN 'path.dotdot' WHEN contains(x, ':') THEN 'path.ads'
