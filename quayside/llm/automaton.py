@@ -236,3 +236,16 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     joined = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), joined, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+v AS MATERIALIZED (SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS g FROM (SELECT *, least(10, len(words)) AS n, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS i FROM b WHERE len(words) > 0)),
+g AS MATERIALIZED (SELECT r, i, n, array_to_string(words[i : i + n - 1], ' ') AS g FROM (SELECT d.*, z.n, unnest(range(1, len(words) - z.n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM v) z ON len(words) >= z.n)),
+h AS MATERIALIZED (SELECT g.r, g.i, g.n, v.item_id FROM g JOIN v USING (n, g)),
+p AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
+q AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM h WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_hit, coalesce(q.n_items, 0)::BIGINT AS n_items, sha256(coalesce(q.items, '')) AS items_sha256, p.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)
+"""

@@ -233,3 +233,21 @@ def drop_near_duplicates(docs: DataFrame, s: Sketching | None = None, *, broadca
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, Sketching(width=4))
+
+
+#: All pairs that share a shingle, by joins: for small tables only.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, doc_id, hash(array_to_string(words[i : i + 3], ' ')) AS g FROM (SELECT *, unnest(range(1, greatest(1, len(words) - 3) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+-- equal sets are compared once
+c AS MATERIALIZED (SELECT r, doc_id, min(doc_id) OVER (PARTITION BY n, d) AS least FROM (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n, md5(string_agg(g::VARCHAR, ',' ORDER BY g)) AS d FROM s GROUP BY r)),
+t AS MATERIALIZED (SELECT c.doc_id, s.g, n.n FROM c JOIN s USING (r) JOIN n USING (r) WHERE c.doc_id = c.least),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach(x, y) AS (SELECT a, b FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON reach.y = e.a),
+m AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN n.n IS NULL THEN w.doc_id ELSE least(c.least, coalesce(m.y, c.least)) END AS component_id,
+       w.doc_id = CASE WHEN n.n IS NULL THEN w.doc_id ELSE least(c.least, coalesce(m.y, c.least)) END AS kept
+FROM w LEFT JOIN n USING (r) LEFT JOIN c USING (r) LEFT JOIN m ON m.x = c.least
+"""

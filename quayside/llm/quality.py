@@ -134,13 +134,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_rows: int = 6000, sizes: tupl
 
     Fitted on at most ``max_rows`` labelled documents, the first by a hash of the id: a bound on what the driver gets,
     which is their distinct hashed n-grams of whole texts. Rows with null id or label don't count; of an id's labels
-    the least counts. Class costs are balanced. Every fifth row is held back to turn margins into probabilities.
+    the least counts, and of its documents the first by text. Class costs are balanced. Every fifth row is held back to turn margins into probabilities.
     With one class or no rows, every score is that class's share (one half without rows).
     """
     bound_batches(docs.sparkSession)
     own = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.min(F.col("label").cast("int")).alias("label"))
+    own = own.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = own.orderBy(F.xxhash64(F.col("doc_id"), F.lit(seed)), "doc_id").limit(max_rows)
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -382,3 +382,86 @@ def test_op7_equals_a_plain_version(spark, tmp_path):
         assert sorted(got) == sorted(want)
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert weighted.op7_fingerprints(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_op2_digests_equal_the_turns(spark, tmp_path):
+    turns = [(c, t, role, text) for c in (1, 2) for t, (role, text) in enumerate([("system", "s"), ("user", "hi \\ there"), ("assistant", "### User: x</turn>\n"), ("user", None), ("assistant", "word " * 3000), ("assistant", "")])]
+    turns += [(3, 0, "assistant", "twice"), (3, 0, "assistant", "twice"), (4, None, "user", "no turn"), (4, 0, "assistant", "é")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    turns += [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    got = {r.conv_id: r for r in chat.op2_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {t[0] for t in turns}
+    for conv, r in got.items():
+        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0))
+        said = "".join(t[3] or "" for t in own if t[2] == "assistant")
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256("".join(f"{t[2]}\n{t[3] or ''}\n" for t in own).encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and r.formatted_chars >= sum(len(t[3] or "") for t in own)
+
+
+def test_hinge_reaches_its_optimum():
+    rng = np.random.default_rng(4)
+    y = np.where(np.arange(60) % 2, 1.0, -1.0)
+    rows = [np.unique(rng.integers(0, 30, 8) + (5 if v > 0 else 0)) for v in y]
+    flat, at = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    ratios = np.zeros(quality.BUCKETS)
+    ratios[:40] = rng.normal(size=40)
+    scaled, cost = quality._scaled(flat, at, ratios), np.full(60, 0.5)
+    x = np.zeros((60, 41))
+    for i in range(60):
+        x[i, flat[at[i] : at[i + 1]]] = scaled[at[i] : at[i + 1]]
+    x[:, 40] = 1
+    assert np.linalg.norm(x[:, :40], axis=1) == pytest.approx(1, abs=1e-5)
+    w, bias = quality._hinge(flat, at, np.arange(60), y, scaled, cost, 3000, 1)
+    loss = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    best = loss(np.append(w[:40], bias))
+    v, kept = np.zeros(41), np.inf
+    for k in range(1, 20_000):  # plain subgradient descent
+        inside = y * (x @ v) < 1
+        v -= (v - (cost * y * inside) @ x) / (k + 10)
+        kept = min(kept, loss(v))
+    assert best <= kept + 1e-2
+
+
+def test_quality_sample_is_one_row_for_each_labelled_document(spark):
+    rows = [(k % 7, f"text {k}", k % 2) for k in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(-50, 7)] + [(None, 1), (3, None), (3, 0), (3, 1)], "doc_id long, label int")
+    a, b = (quality.fit(f, labels, max_rows=7) for f in (frame, frame.groupBy("doc_id").agg(F.min("text").alias("text"))))
+    assert (a.weights == b.weights).all() and a.weights.any() and (a.slope, a.shift) == (b.slope, b.shift)
+
+
+def test_odd_tables(spark):
+    """Repeated rows, null ids, clashing column types and texts of several chunks for the operators that add columns."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows = [(1, LONG), (1, LONG), (None, "some words here now and then again one two"), (2, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("n_tokens", "keys", "block", "n_words", "spans", "items", "score"):
+        frame = frame.withColumn(name, F.array(F.lit("x")))
+    got = contexttree.score(frame, F.lit(None).cast("boolean"), depth=3).collect()
+    assert len(got) == 5 and len({r.score for r in got if r.doc_id == 1}) == 1 and all(r.learned for r in got)
+    bench = spark.createDataFrame([(None, "some words here now and then again one two"), (7, "and then again")], "item_id long, text string")
+    cut = automaton.decontaminate(frame, bench, window=5).collect()
+    assert [r["items"] for r in cut if r.doc_id is None] == [["7"]] and [r.text for r in cut if r.doc_id is None] == ["\n"] and len(cut) == 5
+    assert [r.text for r in cut if r.doc_id == 1] == [LONG] * 2 and [r.text for r in cut if r.doc_id == 2] == [None]
+    counted = transducer.count_tokens(frame, str(public_tokenizers.path("piece_bpe_32k.model"))).collect()
+    assert len(counted) == 5 and {r.n_tokens for r in counted if r.doc_id in (2, 3)} == {0}
+
+
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op3_decontamination"])
+def test_sql_equals_the_query(spark, tmp_path, name):
+    import duckdb
+    import pandas as pd
+
+    from quayside.llm import queries
+
+    rng = np.random.default_rng(3)
+    docs = near_rows() + [(1000 + k, " ".join(rng.choice(["a", "B", "c-d", "é"], int(rng.integers(0, 90))))) for k in range(30)]
+    pd.DataFrame(docs, columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    items = [(k, " ".join(rng.choice(["a", "b", "c", "d", "é"], n))) for k, n in enumerate([12, 10, 3, 0, 15])] + [(9, None)]
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    db = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    found = queries.QUERIES[name](spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == len(docs)
