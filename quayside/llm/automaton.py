@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quayside.llm.spans import ALNUM, Chunk, chunks
-from quayside.llm.store import bound_batches
+from quayside.llm.store import bound_batches, keep
 
 
 class SuffixAutomaton:
@@ -158,13 +159,9 @@ def _item_words(text: str | None) -> list[int]:
     return words
 
 
-def compile_items(benchmark: DataFrame, size: int, max_bytes: int) -> tuple[Windows, list[str | None]]:
-    """The automaton of all items (item_id, text) and their ids. Refuses a table of more than ``max_bytes`` of text."""
-    texts = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
-    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if total > max_bytes:
-        raise ValueError(f"{total} bytes of items; the automaton is built of at most {max_bytes}: call once for each part of the items")
-    rows = texts.collect()
+def compile_items(items: DataFrame, size: int) -> tuple[Windows, list[str | None]]:
+    """The automaton of all ``items`` (item_id string, text string) and their ids; they are collected, so their bytes must be bounded."""
+    rows = items.collect()
     return Windows.of([_item_words(r.text) for r in rows], size), [r.item_id for r in rows]
 
 
@@ -175,7 +172,32 @@ def _scanned(windows: Windows, column: pa.Array) -> Iterator[tuple[Chunk, np.nda
         yield chunk, starts, ends, at, hit, found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, max_item_bytes: int = 64 << 20) -> DataFrame:
+def _ranges(starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Of the words that are hit, the spans from the first to the last of each row."""
+    edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+    return list(zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True))
+
+
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without spans of its bytes; each leaves one line break."""
+    data = text.encode()
+    keep = [0, *(x for s in spans for x in s), len(data)]
+    return b"\n".join(data[keep[k] : keep[k + 1]] for k in range(0, len(keep), 2)).decode()
+
+
+_SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+_ADDED = {"text": T.StringType(), "n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(_SPAN), "over_coverage": T.BooleanType()}
+
+
+def _columns(texts: list, n_words: list, n_hit: list, items: list, spans: list, max_coverage: float) -> list[pa.Array]:
+    """The added columns; spans: (start, end) of bytes."""
+    over = np.array(n_hit) > max_coverage * np.array(n_words)
+    ranges = [[{"start": s, "end": e} for s, e in own] for own in spans]
+    columns = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
+    return [*columns, pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(over)]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5, max_item_bytes: int = 1 << 20) -> DataFrame:
     """``docs`` (doc_id, text, any more) without the spans that benchmark items (item_id, text) also have.
 
     Words are ``[0-9A-Za-z]`` and non-ASCII runs, A-Z lower-cased. A span is removed if it has ``window`` words in a
@@ -185,24 +207,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
     over_coverage: n_hit > max_coverage * n_words. Columns of these names are replaced. A null text stays null and has
     no words. Removal is repeated while what it brings together makes a new span.
 
-    Plan: the automaton (at most ``max_item_bytes`` of item text) goes to all tasks; one scan, no shuffle.
+    Plan: the automaton goes to all tasks; one scan, no shuffle. Items of more than ``max_item_bytes`` are dealt into parts
+    of some so many bytes by a hash; each part's automaton is sent and streamed after the other, and what they hit is
+    united by row: see ``_in_parts``.
     """
     bound_batches(docs.sparkSession)
-    windows, ids = compile_items(benchmark, window, max_item_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast((windows, ids))
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    added = {"text": T.StringType(), "n_words": T.LongType(), "n_hit": T.LongType(), "items": T.ArrayType(T.StringType()), "spans": T.ArrayType(span), "over_coverage": T.BooleanType()}
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if total > max_item_bytes:
+        return _in_parts(docs, keep(items, "items"), window, max_coverage, -(-total // max_item_bytes))
+    sent = docs.sparkSession.sparkContext.broadcast(compile_items(items, window))
     source = [f.name for f in docs.schema.fields]
-    stay = [i for i, x in enumerate(source) if x not in added]
-    schema = T.StructType([docs.schema.fields[i] for i in stay] + [T.StructField(k, t) for k, t in added.items()])
-
-    def ranges(starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
-        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-        return list(zip(starts[np.flatnonzero(edge == 1)].tolist(), ends[np.flatnonzero(edge == -1) - 1].tolist(), strict=True))
-
-    def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-        keep = [0, *(x for s in spans for x in s), len(text)]
-        return b"\n".join(text[keep[k] : keep[k + 1]] for k in range(0, len(keep), 2))
+    stay = [i for i, x in enumerate(source) if x not in _ADDED]
+    schema = T.StructType([docs.schema.fields[i] for i in stay] + [T.StructField(k, t) for k, t in _ADDED.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, ids = sent.value
@@ -216,21 +233,100 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, ma
                 for d in range(len(chunk)):
                     items.append(sorted(x for x in {ids[k] for k in found.get(d, ())} if x is not None))
                     a, b, base = at[d], at[d + 1], chunk.offsets[d]
-                    own = ranges(starts[a:b] - base, ends[a:b] - base, hit[a:b]) if d in found else []
-                    spans.append([{"start": s, "end": e} for s, e in own])
+                    own = _ranges(starts[a:b] - base, ends[a:b] - base, hit[a:b]) if d in found else []
+                    spans.append(own)
                     left = texts[d + chunk.first]
                     while own:
-                        left = without(left.encode(), own).decode()
-                        own = [r for _, s, e, _, h, f in _scanned(windows, pa.array([left])) if f for r in ranges(s, e, h)]
+                        left = _without(left, own)
+                        own = [r for _, s, e, _, h, f in _scanned(windows, pa.array([left])) if f for r in _ranges(s, e, h)]
                     texts[d + chunk.first] = left
-            over = np.array(n_hit) > max_coverage * np.array(n_words)
-            columns = [pa.array(texts, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            columns += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(over)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *columns], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *_columns(texts, n_words, n_hit, items, spans, max_coverage)], names=[f.name for f in schema.fields])
 
     return docs.mapInArrow(run, schema)
 
 
+def _part_hits(rows: DataFrame, windows: Windows, ids: list[str | None]) -> DataFrame:
+    """(row, spans, items) of the ``rows`` (row, text) that an automaton hits."""
+    sent = rows.sparkSession.sparkContext.broadcast((windows, ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, ids = sent.value
+        for batch in batches:
+            for chunk, starts, ends, at, hit, found in _scanned(windows, batch.column(1)):
+                out = []
+                for d, numbers in found.items():
+                    a, b, base = at[d], at[d + 1], chunk.offsets[d]
+                    own = _ranges(starts[a:b] - base, ends[a:b] - base, hit[a:b])
+                    out.append({"row": batch.column(0)[d + chunk.first].as_py(), "spans": [{"start": s, "end": e} for s, e in own], "items": [x for x in {ids[k] for k in numbers} if x is not None]})
+                if out:
+                    kinds = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+                    yield pa.RecordBatch.from_pylist(out, schema=kinds)
+
+    return rows.select("row", "text").mapInArrow(run, "row long, spans array<struct<start:long,end:long>>, items array<string>")
+
+
+def _merged(text: str, spans: list[dict]) -> tuple[int, int, list[tuple[int, int]]]:
+    """Words of the text, those within the spans, and the spans of rows of them."""
+    chunk = next(chunks(pa.array([text], pa.large_string())))
+    starts, ends, _ = chunk.runs(ALNUM)
+    inside = np.zeros(len(starts) + 1, dtype=np.int64)
+    for s in spans:
+        inside[np.searchsorted(starts, s["start"])] += 1
+        inside[np.searchsorted(ends, s["end"], side="right")] -= 1
+    hit = np.cumsum(inside[:-1]) > 0
+    return len(starts), int(hit.sum()), _ranges(starts, ends, hit)
+
+
+def _in_parts(docs: DataFrame, items: DataFrame, window: int, max_coverage: float, parts: int) -> DataFrame:
+    """``decontaminate`` for items of any size: as many scans as parts, then the rows that were hit once more, while any are.
+
+    Rows get numbers of their own; only the spans and item ids of hit rows are grouped and joined, and the texts of hit
+    rows written anew.
+    """
+    base = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    now = base.select(F.col("_row").alias("row"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    first, cut, number = None, [], 0
+    while True:
+        found = []
+        for k in range(parts):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+            found.append(keep(_part_hits(now, *compile_items(part, window)), f"hits-{number}-{k}"))
+        hits = functools.reduce(DataFrame.union, found).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        hits = keep(hits, f"hits-{number}")
+        if first is None:
+            first = hits
+        if hits.isEmpty():
+            break
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [_without(t, _merged(t, s)[2]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
+
+        now = keep(now.join(hits.select("row", "spans"), "row").mapInArrow(run, "row long, text string"), f"cut-{number}")
+        cut.append(now.withColumn("number", F.lit(number)))
+        number += 1
+    source = [f.name for f in docs.schema.fields]
+    stay = [x for x in source if x not in _ADDED]
+    plain = base.select(F.col("_row").alias("_r"), F.col("text").cast("string").alias("_t"), F.struct(*[F.col(f"`{x}`") for x in stay]).alias("_rest"))
+    rows = plain.join(first.select(F.col("row").alias("_r"), F.col("spans").alias("_spans"), F.col("items").alias("_items")), "_r", "left")
+    if cut:
+        last = functools.reduce(DataFrame.union, cut).groupBy("row").agg(F.max_by("text", "number").alias("_left"))
+        rows = rows.join(last.withColumnRenamed("row", "_r"), "_r", "left")
+    else:
+        rows = rows.withColumn("_left", F.lit(None).cast("string"))
+    schema = T.StructType([docs.schema[x] for x in stay] + [T.StructField(k, t) for k, t in _ADDED.items()])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(t, left if spans else t, *_merged(t or "", spans or []), items or []) for t, left, spans, items in zip(*(batch.column(x).to_pylist() for x in ("_t", "_left", "_spans", "_items")), strict=True)]
+            made = _columns([r[1] for r in own], [r[2] for r in own], [r[3] for r in own], [r[5] for r in own], [r[4] for r in own], max_coverage)
+            rest = batch.column("_rest")
+            yield pa.RecordBatch.from_arrays([*(rest.field(k) for k in range(len(stay))), *made], names=[f.name for f in schema.fields])
+
+    return rows.select("_t", "_left", "_spans", "_items", "_rest").mapInArrow(finish, schema)
+
+
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -465,3 +465,16 @@ def test_sql_equals_the_query(spark, tmp_path, name):
     found = queries.QUERIES[name](spark, str(tmp_path))
     want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({queries.SQL[name]})").fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == len(docs)
+
+
+def test_decontamination_in_parts_is_the_same(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(rng.choice(list("abcdé"), n))
+    bench = spark.createDataFrame([(k, word(n)) for k, n in enumerate([14, 12, 3, 1, 0, 11, 9, 9])] + [(9, None), (None, "a b")], "item_id long, text string")
+    rows = [(k % 25, word(int(rng.integers(0, 120))) + "; é, " + word(4)) for k in range(30)] + [(99, None), (98, ""), (None, "zz zz")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("odd name", F.lit("x"))
+    whole, parts = (automaton.decontaminate(frame, bench, window=5, max_item_bytes=n) for n in (1 << 20, 30))
+    assert whole.schema.fieldNames() == parts.schema.fieldNames()
+    key = lambda r: str(r.asDict(recursive=True))
+    assert sorted(map(key, whole.collect())) == sorted(map(key, parts.collect())) and whole.where("n_hit > 0").count() > 20
+    assert automaton.decontaminate(frame.limit(0), bench, max_item_bytes=30).count() == 0
