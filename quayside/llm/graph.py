@@ -9,8 +9,11 @@ from quayside.llm.store import keep
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link each node's larger (or not larger) neighbours to its least neighbour. Edges: (u, v) both ways, or u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    """Link each node's larger (or not larger) neighbours to its least neighbour. Edges: (u, v) both ways, or u > v.
+
+    The least are written first, so that the join has plain exchanges on both sides and a node of very many links can be split.
+    """
+    least = keep(edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     linked = edges.join(least, "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
