@@ -50,23 +50,26 @@ def judge(pages: DataFrame, rules: DataFrame, *, default: str = "allow", filter_
     and one without ``://``, whose host and path are empty.
 
     Plan: the distinct (host, path) give a key for each suffix of the host and each length that rules' paths have
-    (at most ``max_path_lengths``). A filter of at most ``filter_bytes`` goes to all tasks and drops most keys; the
-    rest meet the rules in an exact join. More rules than the filter has room for let more keys pass, nothing else.
+    (beyond ``max_path_lengths`` of them: each length up to the longest). A filter of at most ``filter_bytes`` goes to
+    all tasks and drops most keys; the rest meet the rules in an exact join. More rules than the filter has room for
+    let more keys pass, nothing else.
     """
     listed = rules.where("host != ''").select(F.translate("host", _UPPER, _LOWER).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
     listed = listed.select(F.concat("rule_host", "rule_path").alias("key"), "rule_host", "rule_path", "verdict")
     listed = listed.groupBy("key", "rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))
     lengths = sorted(r[0] for r in listed.select(F.length("rule_path")).distinct().limit(max_path_lengths + 1).collect())
-    if len(lengths) > max_path_lengths:
-        raise ValueError(f"rules' paths have more than {max_path_lengths} lengths")
+    if len(lengths) <= max_path_lengths:
+        steps = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
+    else:
+        steps = F.sequence(F.lit(0), F.least(F.length("path"), F.lit(listed.agg(F.max(F.length("rule_path"))).first()[0])))
     blocks = max(1, min(filter_bytes // (8 * WORDS + 8), listed.count() * 16 // (32 * WORDS) + 1))
     names = ("host", "path", "rule", "verdict")
     urls = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in names], host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
 
     parts = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    keys = urls.select("host", "path").distinct().select("host", "path", F.explode(F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).alias("key"))
+    keys = urls.select("host", "path").distinct().select("host", "path", F.explode(steps).alias("n"))
+    keys = keys.select("host", "path", "n", F.explode(suffixes).alias("suffix")).select("host", "path", F.concat("suffix", F.substring("path", F.lit(1), F.col("n"))).alias("key"))
     passed = keys.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(blocked_bloom(listed.select("key"), blocks)), "block")
     for k, bit in enumerate(_bits(F.col("key"))):
         passed = passed.where(F.call_function("shiftrightunsigned", F.col(f"w{k}"), bit).bitwiseAND(F.lit(1)) == 1)

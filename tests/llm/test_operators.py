@@ -105,6 +105,7 @@ def test_url_rules(spark):
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     got = urls.judge(frame, rules).collect()
     assert len(got) == len(cases) + 1 and all((r.rule, r.verdict) == cases[r.url] for r in got)
+    assert sorted(map(str, urls.judge(frame, rules, max_path_lengths=1).collect())) == sorted(map(str, got))
     assert urls.judge(frame, rules.limit(0)).where("rule IS NOT NULL").count() == 0 and urls.judge(frame.limit(0), rules).count() == 0
 
 
