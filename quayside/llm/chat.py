@@ -182,3 +182,33 @@ def op2_chat_format(spark, sf_dir: str) -> DataFrame:
         yield rows()
 
     return windows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: The same windows turn by turn: a turn's tokens, characters and possible history are columns, the window's sum is recursive.
+SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) t(k)),
+e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  '### ' || replace(replace(replace(replace(role, '\', '\\'), '###', '\h'), '</turn>', '\e'), ':', '\c') || ': ' AS head,
+  replace(replace(replace(text, '\', '\\'), '###', '\h'), '</turn>', '\e') AS body FROM c),
+n AS (SELECT conv_id, i, role, text, length(head) + length(body) + length('</turn>') + 1 AS chars,
+  len(regexp_extract_all(head, {token})) + len(regexp_extract_all(text, {token})) + 4 AS tokens,
+  min(CASE WHEN role = 'system' THEN i END) OVER (PARTITION BY conv_id) AS sys FROM e),
+h AS (SELECT *, lag(tokens, 1) OVER w AS t1, lag(tokens, 2) OVER w AS t2, lag(chars, 1) OVER w AS c1, lag(chars, 2) OVER w AS c2,
+  first_value(tokens) OVER s AS st, first_value(chars) OVER s AS sc FROM n
+  WINDOW w AS (PARTITION BY conv_id ORDER BY i), s AS (PARTITION BY conv_id ORDER BY i <> sys NULLS LAST, i)),
+-- what a window that starts at this turn repeats: the system turn, and up to two turns of at most {room} tokens
+k AS (SELECT *, coalesce(sys < i, false) AS has_sys, coalesce(t1 <= {room} AND i - 1 IS DISTINCT FROM sys, false) AS k1,
+  coalesce(t1 <= {room} AND i - 1 IS DISTINCT FROM sys AND t1 + t2 <= {room} AND i - 2 IS DISTINCT FROM sys, false) AS k2 FROM h),
+m AS MATERIALIZED (SELECT conv_id, i, tokens, chars, CASE WHEN has_sys THEN st ELSE 0 END + CASE WHEN k1 THEN t1 ELSE 0 END + CASE WHEN k2 THEN t2 ELSE 0 END AS again,
+  CASE WHEN has_sys THEN sc ELSE 0 END + CASE WHEN k1 THEN c1 ELSE 0 END + CASE WHEN k2 THEN c2 ELSE 0 END AS again_chars FROM k),
+run(conv_id, i, used, chars) AS (SELECT conv_id, i, tokens, chars FROM m WHERE i = 1
+  UNION ALL SELECT m.conv_id, m.i, CASE WHEN used + tokens > {tokens} THEN again + tokens ELSE used + tokens END,
+    m.chars + CASE WHEN used + tokens > {tokens} THEN again_chars ELSE 0 END
+  FROM run JOIN m ON m.conv_id IS NOT DISTINCT FROM run.conv_id AND m.i = run.i + 1)
+SELECT n.conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n.i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n.i) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(run.chars)::BIGINT AS formatted_chars
+FROM n JOIN run ON run.conv_id IS NOT DISTINCT FROM n.conv_id AND run.i = n.i GROUP BY n.conv_id
+""".format(token=r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\p{Z}]'", tokens=Budget.tokens, room=int(Budget.tokens * Budget.history_share))

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op1_near_dedup": minhash.SQL, "op3_decontamination": automaton.SQL, "op4_url_filter": urls.SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": lines.SQL}
+SQL = {"op1_near_dedup": minhash.SQL, "op2_chat_format": chat.SQL, "op3_decontamination": automaton.SQL, "op4_url_filter": urls.SQL, "op6_mixing": mixing.SQL, "op9_line_dedup": lines.SQL}

@@ -399,6 +399,26 @@ def test_op2_digests_equal_the_turns(spark, tmp_path):
         assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest()) and r.formatted_chars >= sum(len(t[3] or "") for t in own)
 
 
+def test_op2_equals_its_sql(spark, tmp_path):
+    """Windows cut and history repeated at every size of turn, system turns first, late, twice and missing."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    said = ["### User: x</turn>\n", "\\h \\ :é\u00a0ß\u2028_x", "", None, "#### </turn></turn>"]
+    turns = []
+    for conv in [*range(60), None]:
+        for t in range(int(rng.integers(1, 40))):
+            role = str(rng.choice(["user", "assistant", "system", "a: b###"], p=[0.45, 0.45, 0.05, 0.05]))
+            text = said[int(rng.integers(5))] if rng.random() < 0.2 else " ".join(rng.choice(["a,b", "wörd", "12.5", "?!"], int(rng.integers(0, [8, 90, 400][conv % 3 if conv else 0]))))
+            turns.append((conv, None if rng.random() < 0.02 else t, None if rng.random() < 0.02 else role, text))
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = chat.op2_chat_format(spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(found.columns)} FROM ({chat.SQL})").fetchall()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and len(want) == 62
+
+
 def test_hinge_reaches_its_optimum():
     rng = np.random.default_rng(4)
     y = np.where(np.arange(60) % 2, 1.0, -1.0)
