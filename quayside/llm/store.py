@@ -8,6 +8,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quayside.sources.batches import bound_batches
+
+__all__ = ["bound_batches", "keep", "shared_folder"]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where none is set, a temporary folder in local mode (tests), else an error."""
@@ -20,18 +24,6 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Bytes of an Arrow batch that goes to Python; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Set the session's bound on Arrow batches to ``BATCH_BYTES``, unless it is lower. Rows alone (10,000 whole texts) bound no memory."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name).removesuffix("b"))
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table into the shared folder and read it again: cuts the lineage, keeps column pruning."""
     path = f"{shared_folder(df.sparkSession)}/quayside-{uuid.uuid4().hex}/{name}"

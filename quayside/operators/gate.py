@@ -79,15 +79,21 @@ def differences(found: DataFrame, expected: Expectations, digest: str | None = N
 
     kind: total, digest (given the corpus's), count (key: class/result), allow (a path that should be and isn't allowed, or
     is and shouldn't be). No row: the corpus is as expected.
+
+    Plan: ``found`` is evaluated once. Each of its rows gives a fact for every kind; facts are counted before they move,
+    but for allowed paths, of which each stays a row, and meet what is expected in one equi-join.
     """
     spark = found.sparkSession
-    counts = spark.createDataFrame([(f"{c}/{r}", str(n)) for (c, r), n in expected.counts.items()], "key string, expected string")
-    actual = found.groupBy(F.concat_ws("/", "class", "result").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("actual"))
-    out = counts.join(actual, "key", "full_outer").select(F.lit("count").alias("kind"), "key", F.coalesce("expected", F.lit("0")).alias("expected"), F.coalesce("actual", F.lit("0")).alias("actual"))
-    controls = spark.createDataFrame([(x, "allowed") for x in expected.allowed], "key string, expected string")
-    passed = found.where("result = 'ALLOWED'").select(F.col("path").alias("key"), F.lit("allowed").alias("actual"))
-    out = out.union(controls.join(passed, "key", "full_outer").select(F.lit("allow"), "key", F.coalesce("expected", F.lit("rejected")), F.coalesce("actual", F.lit("rejected"))))
-    out = out.union(found.agg(F.count(F.lit(1)).cast("string").alias("n")).select(F.lit("total"), F.lit(""), F.lit(str(expected.total)), "n"))
+    said = [("total", "", str(expected.total)), *[("count", f"{c}/{r}", str(n)) for (c, r), n in expected.counts.items()], *[("allow", x, "allowed") for x in expected.allowed]]
+    rows = found.select("path", F.concat_ws("/", "class", "result").alias("key"), "result", F.monotonically_increasing_id().alias("row"))
+    fact = lambda kind, key, row: F.struct(kind.alias("kind"), key.alias("key"), row.cast("long").alias("row"))
+    allowed = F.when(F.col("result") == "ALLOWED", fact(F.lit("allow"), F.col("path"), F.col("row")))
+    each = rows.select(F.explode(F.array(fact(F.lit("total"), F.lit(""), F.lit(None)), fact(F.lit("count"), F.col("key"), F.lit(None)), allowed)).alias("fact")).where("fact IS NOT NULL")
+    n = F.when(F.col("fact.kind") == "allow", "allowed").otherwise(F.count(F.lit(1)).cast("string"))
+    actual = each.groupBy("fact").agg(n.alias("actual")).select("fact.kind", "fact.key", "actual")
+    none = F.when(F.col("kind") == "allow", "rejected").otherwise("0")
+    both = spark.createDataFrame(said, "kind string, key string, expected string").join(actual, ["kind", "key"], "full_outer")
+    out = both.select("kind", "key", F.coalesce("expected", none).alias("expected"), F.coalesce("actual", none).alias("actual"))
     if digest is not None:
         out = out.union(spark.createDataFrame([("digest", "", expected.digest, digest)], "kind string, key string, expected string, actual string"))
     return out.where("expected != actual")

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quayside.operators import admission, structure, verification
 from quayside.sources.archives import decode
+from quayside.sources.batches import pieces
 
 #: Codes of structural failures whose interpretation is not malformed, and of verification failures that make an archive malformed.
 UNSUPPORTED = ("format.unsupported", "format.magic", "zip.diff.c5_zip64", "zip.encoding", "zip.encrypted", "method.unsupported")
@@ -77,7 +78,7 @@ def inspected(archives: DataFrame, caps: admission.Caps | None = None, *, max_by
         return out | {"phase": code and "verification", "codes": [code] if code else []}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = pa.RecordBatch.from_pylist([answer(r) for r in batch.to_pylist()], schema=arrow)
             yield pa.RecordBatch.from_arrays([*out.columns, batch.column("content")], names=[*arrow.names, "content"]) if with_content else out
 

@@ -217,3 +217,52 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--classify", f"{tmp_path}/c", "--expect", f"{tmp_path}/expect"], spark) == 0
     (tmp_path / "expect").write_text(good.replace("k/a.zip", "k/b.zip"))
     assert main(["--classify", f"{tmp_path}/c", "--expect", f"{tmp_path}/expect"], spark) == 1
+
+
+@pytest.fixture
+def wide_batches(spark):
+    """The session's bound on Arrow batches at Spark's default, whatever ran before."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(64 << 20))
+    yield
+    spark.conf.set(name, before)
+
+
+def test_python_holds_a_bounded_part_of_the_archives(spark, wide_batches):
+    """18 MB of archives in one partition don't come to Python as one batch, as they would by the number of rows."""
+    rows, size = 6000, 3000
+    own = spark.range(rows, numPartitions=1).select(F.col("id").cast("string").alias("archive_id"), F.concat(F.lit("k/"), "id").alias("name"), F.repeat(F.lit("x"), size).cast("binary").alias("data"), F.lit(0).alias("kind"))
+
+    def measure(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    for frame in (fault_corpus(own), decode(fault_corpus(own), with_content=True), outcomes.inspected(fault_corpus(own), with_content=True)):
+        got = frame.mapInArrow(measure, "n long, size long").collect()
+        assert sum(r.n for r in got) == rows and max(r.size for r in got) < 6 << 20
+
+
+def test_pieces_are_bounded_and_whole():
+    import pyarrow as pa
+
+    from quayside.sources.batches import PIECE_BYTES, PIECE_ROWS, pieces
+
+    for n, size in ((0, 1), (1, 3 * PIECE_BYTES), (5, PIECE_BYTES), (3 * PIECE_ROWS + 1, 0), (3000, 2000)):
+        whole = pa.RecordBatch.from_pydict({"k": list(range(n)), "c": pa.array([b"x" * size] * n, pa.binary())})
+        cut = list(pieces([whole, whole]))
+        assert [k for p in cut for k in p.column("k").to_pylist()] == [*range(n)] * 2
+        assert all(0 < p.num_rows <= PIECE_ROWS and (p.num_rows == 1 or p.nbytes <= 1.1 * PIECE_BYTES) for p in cut)
+
+
+def test_the_gate_inspects_a_corpus_once(spark):
+    """Each archive goes through its three passes once, and paths that occur twice stay two rows."""
+    from quayside.queries import expectation_diff
+
+    plan = expectation_diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapInArrow [^\n]*run\(", plan)) == 3
+    found = spark.createDataFrame([("a/x", "a", "ALLOWED"), ("a/x", "a", "ALLOWED"), ("a/y", "a", "ALLOWED"), (None, "b", "ALLOWED")], "path string, class string, result string")
+    got = sorted(map(tuple, gate.differences(found, gate.Expectations(4, "0" * 64, {("a", "ALLOWED"): 3}, frozenset(["a/y"]))).collect()), key=str)
+    assert got == [("allow", "a/x", "rejected", "allowed")] * 2 + [("allow", None, "rejected", "allowed"), ("count", "b/ALLOWED", "0", "1")]
